@@ -1,6 +1,6 @@
 """Queries of this subpackage, and the SQL that they are checked against."""
 
-from . import exact_dedup, mixing, quality
+from . import exact_dedup, mixing, quality, simhash
 
-QUERIES = {"op2_exact_dedup": exact_dedup.query, "op7_mixing": mixing.query, "op9_quality": quality.query}
+QUERIES = {"op2_exact_dedup": exact_dedup.query, "op7_mixing": mixing.query, "op8_simhash": simhash.query, "op9_quality": quality.query}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
