@@ -1,6 +1,13 @@
 """Queries of this subpackage, and the SQL that they are checked against."""
 
-from . import exact_dedup, mixing, quality, simhash
+from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash, substring
 
-QUERIES = {"op2_exact_dedup": exact_dedup.query, "op7_mixing": mixing.query, "op8_simhash": simhash.query, "op9_quality": quality.query}
+QUERIES = {
+    "op1_sentencepiece": sentencepiece_codec.query,
+    "op2_exact_dedup": exact_dedup.query,
+    "op5_substring": substring.query,
+    "op7_mixing": mixing.query,
+    "op8_simhash": simhash.query,
+    "op9_quality": quality.query,
+}
 ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
