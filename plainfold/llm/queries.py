@@ -1,13 +1,15 @@
 """Queries of this subpackage, and the SQL that they are checked against."""
 
-from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash, substring
+from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash, substring, token_rollup, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op4_warc": warc.query,
     "op5_substring": substring.query,
+    "op6_token_rollup": token_rollup.query,
     "op7_mixing": mixing.query,
     "op8_simhash": simhash.query,
     "op9_quality": quality.query,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op7_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
