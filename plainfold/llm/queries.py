@@ -1,10 +1,11 @@
 """Queries of this subpackage, and the SQL that they are checked against."""
 
-from . import exact_dedup, mixing, quality, sentencepiece_codec, simhash, substring, token_rollup, toxicity, warc
+from . import exact_dedup, mixing, quality, secret_scan, sentencepiece_codec, simhash, substring, token_rollup, toxicity, warc
 
 QUERIES = {
     "op1_sentencepiece": sentencepiece_codec.query,
     "op2_exact_dedup": exact_dedup.query,
+    "op10_secret_scan": secret_scan.query,
     "op3_toxicity": toxicity.query,
     "op4_warc": warc.query,
     "op5_substring": substring.query,
