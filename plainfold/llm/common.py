@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 3 << 20  # text handled at once inside a worker; keeps numpy temporaries small
+SLICE_BYTES = 1 << 20  # text handled at once inside a worker; keeps numpy temporaries small
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
