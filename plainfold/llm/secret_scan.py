@@ -16,6 +16,7 @@ from __future__ import annotations
 import random
 import string
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -163,7 +164,7 @@ class Network:
         a = a * (x != _PAD)[..., None]
         top = a.argmax(1)
         share = inside / np.maximum(inside.sum(1, keepdims=True), 1)
-        pooled = np.concatenate([np.take_along_axis(a, top[:, None], 1)[:, 0], np.einsum("bl,blf->bf", share.astype(np.float32), a)], 1)
+        pooled = np.concatenate([np.take_along_axis(a, top[:, None], 1)[:, 0], (share.astype(np.float32)[:, None] @ a)[:, 0]], 1)
         hidden = np.maximum(pooled @ p["h"] + p["c"], 0)
         return (hidden @ p["o"] + p["z"])[:, 0], (cols, a, top, share, pooled, hidden)
 
@@ -182,10 +183,13 @@ class Network:
         flat = da.reshape(-1, f)
         g["w"], g["b"] = cols.reshape(-1, cols.shape[2]).T @ flat, flat.sum(0)
         dc = (da @ p["w"].T).reshape(*x.shape, self.WIDTH, -1)[..., : self.EMBED]
-        ge, pad = np.zeros_like(p["e"]), self.WIDTH // 2
+        pad, at, parts = self.WIDTH // 2, [], []
         for k in range(self.WIDTH):  # column k of a place is the character k - pad further on
             lo, hi = max(0, k - pad), x.shape[1] + min(0, k - pad)
-            np.add.at(ge, x[:, lo:hi].ravel(), dc[:, lo - (k - pad) : hi - (k - pad), k].reshape(-1, self.EMBED))
+            at.append(x[:, lo:hi].ravel())
+            parts.append(dc[:, lo - (k - pad) : hi - (k - pad), k].reshape(-1, self.EMBED))
+        at, parts = np.concatenate(at), np.concatenate(parts)
+        ge = np.stack([np.bincount(at, weights=parts[:, j], minlength=_KINDS) for j in range(self.EMBED)], 1).astype(p["e"].dtype)
         ge[_PAD] = 0
         return g | {"e": ge}
 
@@ -253,9 +257,14 @@ def fitted(findings: list[tuple[bytes, int, int, bool]] | None = None, min_recal
 _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("shown", pa.string()), ("score", pa.float64())])
 
 
+@cache
+def default_network() -> Network:
+    return fitted()
+
+
 def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
     """(doc_id, start, end, shown, score) of each finding."""
-    net = fitted() if net is None else net
+    net = default_network() if net is None else net
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
