@@ -21,7 +21,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -121,47 +120,50 @@ class Model:
 
 
 def estimate(pairs: DataFrame) -> Model | None:
-    """The model from bigram counts (key, t, o). What comes to the driver is as large as the model."""
-    h, w = F.shiftrightunsigned("key", 32), F.col("key").bitwiseAND(F.lit((1 << 32) - 1))
-    some, low = lambda c: F.sum((F.col(c) > 0).cast("int")), lambda c: F.sum(F.least(F.col(c), F.lit(PAIR_DISCOUNT)))
-    ctx = pairs.groupBy(h.alias("h")).agg(F.sum("t").alias("t"), F.sum("o").alias("o"), low("t").alias("tl"), low("o").alias("ol")).toPandas().sort_values("h")
-    cont = pairs.groupBy(w.alias("w"), "lang").agg(some("t").alias("t"), some("o").alias("o")).toPandas().drop_duplicates("w").sort_values("w")
-    often = pairs.where(f"t > {PAIR_DISCOUNT} or o > {PAIR_DISCOUNT}").toPandas()
-    if not len(cont) or not cont["t"].sum() or not cont["o"].sum():
+    """The model from bigram counts (key, lang, t, o).
+
+    Only words and contexts that some count beyond a discount sets apart come to the driver; all others have the value
+    of an unseen word, or none, which totals by language give."""
+    h, w = F.shiftrightunsigned("key", 32).alias("h"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("w")
+    some = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
+    low = lambda c, d: F.least(F.col(c), F.lit(d))
+    words = C.materialise(pairs.groupBy(w, "lang").agg(some("t"), some("o")), "continuations")
+    langs = words.groupBy("lang").agg(*[F.sum(c).alias(c) for c in "to"], *[F.sum(low(c, DISCOUNT)).alias(f"{c}_low") for c in "to"]).toPandas()
+    langs = langs[(langs["t"] > 0) & (langs["o"] > 0)].sort_values("lang").reset_index(drop=True)
+    if not len(langs):
         return None
-    words, contexts = cont["w"].to_numpy(np.int64).view(np.uint64), ctx["h"].to_numpy(np.int64).view(np.uint64)
-    freed = sum(np.minimum(cont[c].to_numpy(float), DISCOUNT) for c in "to")
-    lang = cont["lang"].to_numpy()
-    of, names = pd.factorize(lang)
-    by_lang = lambda x: np.bincount(of, weights=x, minlength=len(names))
-    shared = freed / (by_lang(freed)[of] + 1)  # the rest is for words never seen
-    both = (by_lang(cont["t"].to_numpy(float)) > 0) & (by_lang(cont["o"].to_numpy(float)) > 0)
+    often = pairs.where(f"t > {PAIR_DISCOUNT} or o > {PAIR_DISCOUNT}")
+    ends = often.select(w).distinct()
+    cont = words.where(f"t > {DISCOUNT} or o > {DISCOUNT}").unionByName(words.join(ends, "w", "left_semi")).toPandas().drop_duplicates("w").sort_values("w")
+    starts = often.select(h).distinct()
+    ctx = pairs.select(h, "t", "o").join(starts, "h").groupBy("h").agg(*[F.sum(c).alias(c) for c in "to"], *[F.sum(low(c, PAIR_DISCOUNT)).alias(f"{c}_low") for c in "to"]).toPandas().sort_values("h")
+    often = often.toPandas().sort_values("key")
+    known = langs["lang"].to_numpy()
+    cont = cont[np.isin(cont["lang"], known)]
+    often = often[np.isin(often["lang"], known)]
+    of = np.searchsorted(known, cont["lang"].to_numpy())
+    vocabulary, contexts = cont["w"].to_numpy(np.int64).view(np.uint64), ctx["h"].to_numpy(np.int64).view(np.uint64)
     keys = often["key"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(keys)
-    keys = keys[order]
+    keys, order = np.unique(keys, return_index=True)
     hi, _ = _find(contexts, keys >> np.uint64(32))
-    wi, _ = _find(words, keys & np.uint64(0xFFFFFFFF))
+    wi, _ = _find(vocabulary, keys & np.uint64(0xFFFFFFFF))
+    number = lambda table, c: table[c].to_numpy(float)
+    freed = number(langs, "t_low") + number(langs, "o_low") + 1  # one for words never seen
+    shared = sum(np.minimum(number(cont, c), DISCOUNT) for c in "to") / freed[of]
     back, unseen, opened, seen = 0.0, 0.0, 0.0, 0.0
-    judged = both[of]
     for c, sign in (("t", 1), ("o", -1)):
-        n = cont[c].to_numpy(float)
-        total = np.maximum(by_lang(n), 1)
-        kept = np.maximum(n - DISCOUNT, 0)
-        rest = np.maximum(1 - by_lang(kept) / total, 1e-12)  # what discounting frees goes to the shared counts
-        p = kept / total[of] + rest[of] * shared
+        total = number(langs, c)
+        rest = number(langs, c + "_low") / total  # what discounting frees goes to the shared counts
+        p = np.maximum(number(cont, c) - DISCOUNT, 0) / total[of] + rest[of] * shared
         back = back + sign * np.log(p)
         unseen = unseen + sign * np.log(rest)
-        size, small = ctx[c].to_numpy(float), ctx[c + "l"].to_numpy(float)
-        left = np.where(size > 0, small / np.maximum(size, 1), 1.0)
-        opened = opened + sign * np.log(np.maximum(left, 1e-12))
-        m = often[c].to_numpy(float)[order]
+        size = number(ctx, c)
+        left = np.where(size > 0, number(ctx, c + "_low") / np.maximum(size, 1), 1.0)
+        opened = opened + sign * np.log(left)
+        m = number(often, c)[order]
         seen = seen + sign * np.log(np.maximum(m - PAIR_DISCOUNT, 0) / np.maximum(size[hi], 1) + left[hi] * p[wi])
     f = np.float32
-    back = np.where(judged, back, 0)
-    inside = judged[wi]
-    keys, seen = keys[inside], seen[inside]
-    known = np.isin(contexts, words[judged])
-    return Model(words, back.astype(f), {int(k): float(x) for k, x, ok in zip(names.view(np.uint64), unseen, both) if ok}, contexts, np.where(known, opened, 0).astype(f), keys, seen.astype(f))
+    return Model(vocabulary, np.asarray(back, f), {int(k): float(x) for k, x in zip(known.view(np.uint64), unseen)}, contexts, np.asarray(opened, f), keys, np.asarray(seen, f))
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_words", pa.int64())])
