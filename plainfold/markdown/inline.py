@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _TAG = re.compile(
@@ -71,8 +72,12 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         if c == "\\" and i + 1 < n and text[i + 1] in PUNCT:
             i += 2
         elif c == "`":
-            k = len(text[i:]) - len(text[i:].lstrip("`"))
-            end = next((x for x in runs[k] if x > i), None) if k in runs else None
+            k = 1
+            while text[i + k : i + k + 1] == "`":
+                k += 1
+            same = runs.get(k, [])
+            after = bisect_right(same, i)
+            end = same[after] if after < len(same) else None
             if end is None:
                 i += k
             else:
@@ -93,7 +98,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
             if end is None:
                 i += 1
                 continue
-            out = [s for s in out if s[0] < at]
+            while out and out[-1][0] >= at:
+                out.pop()
             out.append((at, end, "image" if image else "link"))
             if not image:
                 brackets = [b for b in brackets if b[1]]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_right
 
 from plainfold.functions.rules import DIALECT_RULES
 from plainfold.markdown import blocks as B
@@ -27,6 +28,8 @@ _BREAK_TAG = re.compile(r"[ \t\r]*<br(?:[ \t]*/)?>[ \t\r]*$", re.I | re.A)
 _END_TAG = re.compile(r"<br[ \t]*/?>[ \t\r]*$", re.I | re.A)
 _SENTENCE_END = re.compile("[.!?…]+[\"'”’)\\]]*(?=[ \t\r])")
 _RUN = re.compile(r"[ \t\r]+")
+_RUN_OR_LINE = re.compile(r"[ \t\r\n]+")
+_FENCE_RUN = re.compile(r"`{3,}|~{3,}")
 _CLAUSE = re.compile(r"[,;](?=[ \t\r])")
 _ENTITY = re.compile(r"&#?[0-9A-Za-z]+;$")
 _ORDERED = re.compile(r"([0-9]{1,9})([.)])([ \t\n\f\r]|$)")
@@ -201,6 +204,7 @@ def _starts(c: str) -> bool:
 def sentence_breaks(text: str, abbreviations) -> list[tuple[int, int]]:
     """White space between sentences."""
     out, opens = [], None
+    begins = [0, *(m.end() for m in _RUN_OR_LINE.finditer(text))]
     for m in _SENTENCE_END.finditer(text):
         end = m.end()
         after = _RUN.match(text, end).end()
@@ -218,7 +222,7 @@ def sentence_breaks(text: str, abbreviations) -> list[tuple[int, int]]:
             opens = I.openers(text) if opens is None else opens
             if at not in opens:
                 continue
-        begin = max(text.rfind(x, 0, end) for x in " \t\r\n") + 1
+        begin = begins[bisect_right(begins, end - 1) - 1]
         word = text[begin:end]
         if word.lower() in abbreviations or len(word) == 2 and word[1] == "." and unicodedata.category(word[0]) == "Lu":
             continue
@@ -228,16 +232,19 @@ def sentence_breaks(text: str, abbreviations) -> list[tuple[int, int]]:
 
 def _hazard(text: str, at: int) -> bool:
     """Whether no line may begin at ``at``."""
-    rest = text[at:]
-    return bool(_MARKER_START.match(rest) or re.match(r"`{3,}|~{3,}", rest) or text[at - 1] != " " and _LINK_START.match(rest))
+    return bool(_MARKER_START.match(text, at) or _FENCE_RUN.match(text, at) or text[at - 1] != " " and _LINK_START.match(text, at))
 
 
 def _cuttable(breaks, held, text: str, line_end: bool):
-    out = []
+    """Breaks where a line may end and one begin; breaks and held spans are both in order."""
+    out, k = [], 0
     for a, b in breaks:
-        if any(x < b and y > a for x, y in held) or _hazard(text, b):
+        while k < len(held) and held[k][1] <= a:
+            k += 1
+        if k < len(held) and held[k][0] < b or _hazard(text, b):
             continue
-        if line_end and (text[a - 1 : a] == "\r" or _odd_tail(text[:a]) == 1 or _END_TAG.search(text[:a])):
+        before = text[max(0, a - 64) : a]
+        if line_end and (before[-1:] == "\r" or _odd_tail(before) == 1 or _END_TAG.search(before)):
             continue
         out.append((a, b))
     return out
@@ -252,24 +259,32 @@ def _width(text: str) -> int:
     return out + len(text) - at
 
 
-def _fits(text: str, width: int) -> bool:
-    return _width(escaped(text)) <= width
+def _too_long(text: str, start: int, end: int, width: int) -> bool:
+    """Whether so much of text can't fit, told from a stretch of it without what white space might save."""
+    some = text[start : min(end, start + 2 * width + 64)]
+    return len(some) - len(_RUN.findall(some)) - sum(map(len, _RUN.findall(some))) > width
+
+
+def _fits(text: str, width: int, start: int = 0, end: int | None = None) -> bool:
+    end = len(text) if end is None else end
+    return not _too_long(text, start, end, width) and _width(escaped(text[start:end])) <= width
 
 
 def _ranked(text: str, first, second, width: int) -> list[str]:
-    out, start = [], 0
-    while start < len(text) and not _fits(text[start:], width):
+    """Each line ends at the last first-class cut that fits, else the last second-class one, else the next of any."""
+    out, start, n = [], 0, len(text)
+    while start < n and not _fits(text, width, start):
         cut = None
         for found in (first, second):
-            fitting = [x for x in found if x[0] > start and len(text[start : x[0]].split(" ")) and x[0] - start <= width * 4]
-            for x in reversed(fitting):
-                if _fits(text[start : x[0]], width):
-                    cut = x
-                    break
+            k, fitting = bisect_right(found, (start, n)), []
+            while k < len(found) and not _too_long(text, start, found[k][0], width):
+                fitting.append(found[k])
+                k += 1
+            cut = next((x for x in reversed(fitting) if _fits(text, width, start, x[0])), None)
             if cut:
                 break
         if cut is None:
-            later = [x for x in (*first, *second) if x[0] >= start and x[1] > start]
+            later = [found[k] for found in (first, second) if (k := bisect_right(found, (start, n))) < len(found)]
             if not later:
                 break
             cut = min(later)
