@@ -23,7 +23,6 @@ MARKER_TOKEN = r"(^|[ \n])([-:]*-[-:]*|[0-9]{1,9}[.)])([ \n]|$)"
 IMPORT_LINE = r"(^|\n)(import|export)([^0-9A-Za-z_]|$)"
 ADMONITION_LINE = r"(^|\n)(!!!|\?\?\?)"
 
-TERMINAL = r"[.!?…]+[\"'”’)\]]*"
 STARTER = r"[\"'“‘(\[\p{Lu}\p{Nd}]"
 
 
@@ -51,7 +50,7 @@ def split_sentences(line: Column, abbreviations=None) -> Column:
     """A newline for the white space between sentences. A sentence doesn't end in an abbreviation or a lone initial."""
     words = "|".join(re.escape(a.lower()) for a in sorted(Options().abbreviations if abbreviations is None else abbreviations))
     held = rf"(?<!(?:^|[ \n{KEPT}])(?:(?i:{words})|\p{{Lu}}\.))" if words else rf"(?<!(?:^|[ \n{KEPT}])\p{{Lu}}\.)"
-    return F.regexp_replace(line, rf"([.!?…][\"'”’)\]]*){held} +(?={STARTER})", "$1\n")
+    return F.regexp_replace(line, rf"([!.?…][\"')’”\]]*){held} +(?={STARTER})", "$1\n")
 
 
 def _tidied(line: Column) -> Column:

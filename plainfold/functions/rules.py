@@ -5,8 +5,8 @@ from __future__ import annotations
 #: name, pattern on a trimmed line, what it freezes, only within block quotes
 DIALECT_RULES = (
     ("docusaurus-directive-fence", r"^:::", "line", False),
-    ("hugo-shortcode-block", r"^\{\{[<%].*[%>]\}\}$", "line", False),
-    ("github-alert-marker", r"^\[!(NOTE|TIP|IMPORTANT|WARNING|CAUTION)\]", "line", True),
+    ("hugo-shortcode-block", r"^\{{2}[%<].*[>%]\}{2}$", "line", False),
+    ("github-alert-marker", r"^\[!(CAUTION|WARNING|NOTE|IMPORTANT|TIP)\]", "line", True),
     ("math-block-fence", r"^\$\$$", "any", False),
     ("mdx-block-expr", r"^\{[^{}]*\}$", "any", False),
     ("mdx-import-export", r"^(import|export)\b", "all", False),
@@ -15,8 +15,8 @@ DIALECT_RULES = (
 
 MARKDOWN = ("md", "mdx", "markdown")
 REFUSED = tuple(
-    "yaml yml json toml xml go py js mjs cjs ts jsx tsx html htm css scss less csv tsv ini cfg conf sh bash zsh fish rb java kt c h cpp hpp cc rs swift "
-    "lock sum mod sql proto pdf png jpg jpeg gif svg ico zip tar gz bz2 7z exe bin woff woff2 ttf otf mp3 mp4".split()
+    "7z bash bin bz2 c cc cfg cjs conf cpp css csv exe fish gif go gz h hpp htm html ico ini java jpeg jpg js json jsx kt less "
+    "lock mjs mod mp3 mp4 otf pdf png proto py rb rs scss sh sql sum svg swift tar toml ts tsv tsx ttf woff woff2 xml yaml yml zip zsh".split()
 )
 
 #: code: (what was found, what to do about it)

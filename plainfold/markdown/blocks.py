@@ -27,9 +27,9 @@ _HTML = [
     (re.compile(r"<!\[CDATA\["), re.compile(r"\]\]>")),
     (BLOCK_TAG, None),
 ]
-_ANY_TAG = re.compile(r"(?:<[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[A-Za-z][A-Za-z0-9-]*\s*>)[ \t\r]*$", re.A)
+_ANY_TAG = re.compile(r"(?:<[a-zA-Z][-0-9a-zA-Z]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?>|</[a-zA-Z][-0-9a-zA-Z]*\s*>)[ \t\r]*$", re.A)
 _DELIMITERS = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t\r]*$")
-_DEF = re.compile(r"[ ]{0,3}\[((?:\\.|[^\[\]\\])+)\]:[ \t]*\n?[ \t]*(<(?:\\.|[^<>\n\\])*>|[^\s<][^\s]*)(?:(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\)))?[ \t\r]*(?:\n|\Z)", re.S)
+_DEF = re.compile(r"[ ]{0,3}\[((?:[^\\\[\]]|\\.)+)\]:[ \t]*\n?[ \t]*(<(?:\\.|[^<>\n\\])*>|[^\s<][^\s]*)(?:(?:[ \t]+|[ \t]*\n[ \t]*)(\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'|\((?:\\.|[^()\\])*\)))?[ \t\r]*(?:\n|\Z)", re.S)
 
 
 @dataclass

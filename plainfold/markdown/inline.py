@@ -8,11 +8,11 @@ from bisect import bisect_right
 
 PUNCT = frozenset("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
 _TAG = re.compile(
-    r"<(?:[A-Za-z][A-Za-z0-9-]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[A-Za-z][A-Za-z0-9-]*\s*|!--(?:>|->|.*?--)|\?.*?\?|![A-Z]+\s[^>]*|!\[CDATA\[.*?\]\])>", re.S | re.A
+    r"<(?:[a-zA-Z][-0-9a-zA-Z]*(?:\s+[A-Za-z_:][\w.:-]*(?:\s*=\s*(?:[^\s\"'=<>`]+|'[^']*'|\"[^\"]*\"))?)*\s*/?|/[a-zA-Z][-0-9a-zA-Z]*\s*|!--(?:>|->|.*?--)|\?.*?\?|![A-Z]+\s[^>]*|!\[CDATA\[.*?\]\])>", re.S | re.A
 )
-_AUTO = re.compile(r"<(?:[A-Za-z][A-Za-z0-9+.-]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*)>", re.A)
-_BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+|[A-Za-z0-9.+_-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", re.A)
-_KEPT = [re.compile(p) for p in (r"\[\^[^\]\n]+\]", r"\$[^$\n]+\$", r"\{\{[<%].*?[%>]\}\}", r"\{[^{}\n]+\}")]
+_AUTO = re.compile(r"<(?:[a-zA-Z][-+.0-9a-zA-Z]{1,31}:[^\s<>]*|[\w.!#$%&'*+/=?^`{|}~-]+@[-0-9a-zA-Z]+(?:\.[-0-9a-zA-Z]+)*)>", re.A)
+_BARE = re.compile(r"(?:https?://|ftp://|www\.)[^\s<]+|[A-Za-z0-9.+_-]+@[-0-9a-zA-Z]+(?:\.[-0-9a-zA-Z]+)+", re.A)
+_KEPT = [re.compile(p) for p in (r"\[\^[^\]\n]+\]", r"\$[^$\n]+\$", r"\{{2}[%<].*?[>%]\}{2}", r"\{[^{}\n]+\}")]
 _NEAR_TAG = re.compile(r"</?[A-Za-z][^>\n]*>?")
 
 

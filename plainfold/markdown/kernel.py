@@ -14,30 +14,33 @@ from plainfold.options import Options
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 _RULES = [(name, re.compile(p, re.A), kind, quoted) for name, p, kind, quoted in DIALECT_RULES]
 _CONTROL = re.compile(r"[\x00-\x08\x0b\x0c\x0e-\x1f]")
-_LABEL = r"(?:\\.|[^\[\]\\^])(?:\\.|[^\[\]\\])*"
-_SHAPE = re.compile(rf"\\?\[(?:{_LABEL}|\^(?:[ \t](?:\\.|[^\[\]\\])*)?)?\]:")
-_MARKERS = r"[ \t>]*(?:(?:[-+*]|[0-9]{1,9}[.)])[ \t]+[ \t>]*)*"
+_LABEL = r"(?:[^\\\[\]^]|\\.)(?:[^\\\[\]]|\\.)*"
+_SHAPE = re.compile(rf"\\?\[(?:{_LABEL}|\^(?:[\t ](?:[^\\\[\]]|\\.)*)?)?\]:")
+_MARKERS = r"[>\t ]*(?:(?:[0-9]{1,9}[).]|[*+-])[\t ]+[>\t ]*)*"
 _CHAIN = re.compile("^" + _MARKERS + _SHAPE.pattern)
 _FOOTNOTE = re.compile(r"^\\?\[\^[^\]\s][^\]]*\]:")
 _BARE_CARET = re.compile(r"\\?\[\^[^\]\s][^\]]*\]:[ \t\r]*$")
-_ORPHAN = re.compile(r"^(?:\\.|[^\[\]\\])*\]:")
-_ADMONITION = re.compile(r"^(?:!{3}|\?{3}\+?)")
-_MARKER_START = re.compile(r"[ \t]*(?::::|\{\{[<%]|\$\$|\+\+\+|\{[^{}]*\}|\[!(?:NOTE|TIP|IMPORTANT|WARNING|CAUTION)\])")
-_LINK_START = re.compile(r"(?:[a-z][a-z0-9+.-]*://|www\.|[a-z0-9.!#$%&'*+/=?^_`{|}~-]+@[a-z0-9-]+(?:\.[a-z0-9-]+)+)", re.I | re.A)
-_BREAK_TAG = re.compile(r"[ \t\r]*<br(?:[ \t]*/)?>[ \t\r]*$", re.I | re.A)
-_END_TAG = re.compile(r"<br[ \t]*/?>[ \t\r]*$", re.I | re.A)
-_SENTENCE_END = re.compile("[.!?…]+[\"'”’)\\]]*(?=[ \t\r])")
+_ORPHAN = re.compile(r"^(?:[^\\\[\]]|\\.)*\]:")
+_ADMONITION = re.compile(r"^(?:!!!|\?\?\?\+?)")
+_ALERTS = "|".join(("CAUTION", "WARNING", "NOTE", "IMPORTANT", "TIP"))
+_MARKER_START = re.compile(r"[\t ]*(?:" + "|".join(map(re.escape, ("$$", "+++", ":::", "{{%", "{{<"))) + rf"|\[!(?:{_ALERTS})\]|\{{[^}}{{]*\}})")
+_MAILBOX = "[0-9a-z" + re.escape("-!#$%&'*+./=?^_`{|}~") + "]+"
+_HOST = r"[0-9a-z-]+(?:\.[0-9a-z-]+)+"
+_LINK_START = re.compile(rf"www\.|[a-z][0-9a-z.+-]*://|{_MAILBOX}@{_HOST}", re.I | re.A)
+_BREAK_TAG = re.compile(r"[\r\t ]*<br(?:[\t ]*/)?>[\r\t ]*$", re.I | re.A)
+_END_TAG = re.compile(r"<br[\t ]*/?>[\t\r ]*$", re.I | re.A)
+_SENTENCE_END = re.compile("[!.?…]+['\")’”\\]]*(?=[\t\r ])")
 _RUN = re.compile(r"[ \t\r]+")
 _RUN_OR_LINE = re.compile(r"[ \t\r\n]+")
 _FENCE_RUN = re.compile(r"`{3,}|~{3,}")
 _CLAUSE = re.compile(r"[,;](?=[ \t\r])")
-_ENTITY = re.compile(r"&#?[0-9A-Za-z]+;$")
+_ENTITY = re.compile(r"&#?[A-Za-z0-9]+;$")
 _ORDERED = re.compile(r"([0-9]{1,9})([.)])([ \t\n\f\r]|$)")
 _TRIGGER = re.compile(rf"#{{1,6}}([ \t\n\f\r]|$)|>|[-*+]([ \t\n\f\r]|$)|<[!?]|{B.BLOCK_TAG.pattern}", re.I | re.A)
-_LONE_TAG = re.compile(r"(?:<[A-Za-z][A-Za-z0-9-]*(?: [^<>\t]*)?/?>|</ *[A-Za-z][A-Za-z0-9-]*(?: [^<>\t]*)?/?>) *$")
-_BARE_DEF = re.compile(r"[ \t]{0,3}\[[^\[\]]*\]:[ \t\f\v\r]*$")
-_QUOTES = re.compile(r"([ \t]{0,3}>[ \t]?)+")
-_LIST_MARK = re.compile(r"(?:[0-9]{1,9}[.)]|\+)[ \t]")
+_LONE_TAG = re.compile(r"<(?:/ *)?[a-zA-Z][-0-9a-zA-Z]*(?: [^\t<>]*)?/?> *$")
+_BARE_DEF = re.compile(r"[\t ]{0,3}\[[^\]\[]*\]:[\t\v\f\r ]*$")
+_QUOTES = re.compile(r"(?:[\t ]{,3}>[\t ]?)+")
+_LIST_MARK = re.compile(r"(?:\+|[0-9]{1,9}[).])[\t ]")
 
 
 def _odd_tail(text: str) -> int:
@@ -149,7 +152,7 @@ def _following(prefix: str, first_text: str, dialect: str) -> str:
         out += ">" if c == ">" else " " * (4 - len(out) % 4) if c == "\t" else " "
     if _FOOTNOTE.match(first_text):
         out += "    "
-    elif dialect == "mkdocs" and re.match(r"(?:!{3}|\?{3}\+?)[ \t]+\S", first_text):
+    elif dialect == "mkdocs" and re.match(r"(?:!!!|\?\?\?\+?)[\t ]+\S", first_text):
         out += "    "
     return out
 

@@ -39,7 +39,7 @@ _JOINED = f"""p0 as (select doc_id, lang, source, text, replace(replace(text, ch
 
 _ABBR = ", ".join(_q(a) for a in ABBREVIATIONS)
 _SENTENCES = f"""tokens as (select doc_id, para_no, unnest(string_split(para, ' ')) as token, generate_subscripts(string_split(para, ' '), 1) as pos from paras),
-    marked as (select *, coalesce(regexp_matches(token, '[.!?…]+["''”’)\\]]*$') and lower(token) not in ({_ABBR}) and not regexp_matches(token, '^\\p{{Lu}}\\.$')
+    marked as (select *, coalesce(regexp_matches(token, '[!.?…]+["'')’”\\]]*$') and lower(token) not in ({_ABBR}) and not regexp_matches(token, '^\\p{{Lu}}\\.$')
       and regexp_matches(lead(token) over w, '^["''“‘(\\[\\p{{Lu}}\\p{{Nd}}]'), false) as ends from tokens window w as (partition by doc_id, para_no order by pos)),
     numbered as (select *, coalesce(sum(ends::int) over (partition by doc_id, para_no order by pos rows between unbounded preceding and 1 preceding), 0) as nth from marked),
     sentences as (select doc_id, para_no, nth, string_agg(token, ' ' order by pos) as sentence from numbered group by all)"""
@@ -106,11 +106,11 @@ def abbrev_suppressed(spark, sf_dir):
 
 def clause_breaks(spark, sf_dir):
     d = _table(spark, sf_dir, "documents")
-    all_, entity = F.regexp_count("text", F.lit(r"[,;][ \t\r]+")), F.regexp_count("text", F.lit(r"&#?[0-9A-Za-z]+;[ \t\r]+"))
+    all_, entity = F.regexp_count("text", F.lit(r"[,;][ \t\r]+")), F.regexp_count("text", F.lit(r"&#?[A-Za-z0-9]+;[ \t\r]+"))
     return d.select("doc_id", (all_ - entity).cast("long").alias("n_breaks"))
 
 
-_SPANS = {"footnotes": r"\[\^[^\]\n]+\]", "maths": r"\$[^$\n]+\$", "shortcodes": r"\{\{[<%].*?[%>]\}\}", "braces": r"\{[^{}\n]+\}", "tags": r"</?[A-Za-z][^>\n]*>?"}
+_SPANS = {"footnotes": r"\[\^[^\]\n]+\]", "maths": r"\$[^$\n]+\$", "shortcodes": r"\{{2}[%<].*?[>%]\}{2}", "braces": r"\{[^{}\n]+\}", "tags": r"</?[A-Za-z][^>\n]*>?"}
 
 
 def regex_nobreak_spans(spark, sf_dir):
@@ -260,7 +260,7 @@ ORACLES = {
     "sentence_mw80": f"with recursive {_JOINED}, {_SENTENCES}, bodies as (select doc_id, para_no, nth, sentence as body from sentences), {_stepped('bodies', 'doc_id, para_no, nth', 80, True)} {_rebuilt('select doc_id, para_no, string_agg(body, chr(10) order by nth) as body from filled group by all')}",
     "needs_format": f"with {_SENTENCE_MODE} select lang, count(*) as n_docs, sum((formatted <> text)::int)::bigint as n_changed from joined join done using (doc_id) group by lang",
     "abbrev_suppressed": f"with t as (select unnest(regexp_split_to_array(lower(text), '[ \\n]+')) as token from documents) select a.token, count(t.token) as n from (select unnest([{_ABBR}]) as token) a left join t using (token) group by a.token",
-    "clause_breaks": f"select doc_id, {_COUNT(r'[,;][ \t\r]+')} - {_COUNT(r'&#?[0-9A-Za-z]+;[ \t\r]+')} as n_breaks from documents",
+    "clause_breaks": f"select doc_id, {_COUNT(r'[,;][ \t\r]+')} - {_COUNT(r'&#?[A-Za-z0-9]+;[ \t\r]+')} as n_breaks from documents",
     "regex_nobreak_spans": " union all ".join(f"select '{t}' as table_name, {k} as id, " + ", ".join(f"{_COUNT(p, c)} as {n}" for n, p in _SPANS.items()) + f" from {t}" for t, k, c in (("documents", "doc_id", "text"), ("events", "event_id", "props"))),
     "line_triggers": "with t as (select doc_id, unnest(regexp_split_to_array(text, '[ \\n]+')) as token from documents) select doc_id, " + ", ".join(f"sum(regexp_matches(token, {_q(p)})::int)::bigint as {n}" for n, p in _TRIGGERS.items()) + " from t group by doc_id",
     "front_matter_end": """with t as (select doc_id, false as framed, text as t from documents union all select doc_id, true, '---' || chr(10) || text || chr(10) || '---' || chr(10) || 'rest' from documents),
