@@ -31,6 +31,7 @@ MIN_FEATURES, MIN_WORD_BYTES = 8, 4
 PARTITIONS = (3, 4, 5, 6, 8)
 ROW_COST, PAIR_COST = 3e-6, 8e-9  # seconds for a row filed, and for a pair verified
 MAX_THRESHOLD = 3
+JUMPS = 2
 
 _TIE = np.unpackbits(C.mix(np.arange(7, 9, dtype=np.uint64)).view(np.uint8))
 
@@ -323,13 +324,19 @@ def near_edges(prints: DataFrame, tau: int = TAU, wide: int = WIDE_TAU) -> DataF
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the least node of each component that has an edge; labels shrink by contraction, in few rounds."""
+    """(node, label): one node of each component that has an edge as the label of all its nodes.
+
+    Every round maps each node to its least neighbour's least neighbour's ... (JUMPS doublings), and edges likewise."""
     edges = C.materialise(edges.where("u <> v"), "edges")
     labels = edges.select(F.col("u").alias("node")).union(edges.select("v")).distinct().withColumn("label", F.col("node"))
     labels = C.materialise(labels, "labels")
     while not edges.isEmpty():
         both = edges.union(edges.select("v", "u"))
         parent = C.materialise(both.groupBy(F.col("u").alias("child")).agg(F.least(F.first("u"), F.min("v")).alias("parent")), "parents")
+        for _ in range(JUMPS):
+            up = parent.select(F.col("child").alias("middle"), F.col("parent").alias("top"))
+            parent = parent.join(up, F.col("parent") == F.col("middle")).select("child", F.col("top").alias("parent"))
+        parent = C.materialise(parent, "parents")
         labels = C.materialise(labels.join(parent, F.col("label") == F.col("child"), "left").select("node", F.coalesce("parent", "label").alias("label")), "labels")
         up = edges.join(parent, F.col("u") == F.col("child")).select(F.col("parent").alias("u"), "v")
         edges = C.materialise(up.join(parent, F.col("v") == F.col("child")).select("u", F.col("parent").alias("v")).where("u <> v").distinct(), "edges")
