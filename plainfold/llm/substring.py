@@ -9,7 +9,8 @@ the words beyond its first and last anchors are compared with the source's, to t
 Factors of MIN_WORDS words or more are duplicate spans; overlapping ones of a document are joined.
 
 The source of an anchor is its first occurrence by (doc_id, position); for the document that holds that one, its last.
-Both occurrences of a passage are hence reported, by whichever document they stand in.
+Both occurrences of a passage are hence reported, by whichever document they stand in. Where a text repeats itself over
+and over, the source so chosen may end first, and an end of a span lie up to WINDOW words short.
 
 Defined results: words are what lies between ASCII white space. Null, empty and shorter texts have no span. Repeats
 within one document are not counted, so repeated rows of one doc_id are one document; rows without a doc_id are left out.
