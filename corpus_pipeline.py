@@ -29,6 +29,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def keep_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """In place of mix_sources: the whole corpus is the budget, so that no scarce source cuts the others."""
+    return mixing.mix(docs, tokens=mixing.WHOLE)
+
+
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(docs)
 
@@ -45,10 +50,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+WHOLE_STAGES = [(name, keep_mixture if stage is mix_sources else stage) for name, stage in STAGES]
+
+
+def run(spark: SparkSession, sf_dir: str, stages: list = STAGES) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in stages:
         path = common.work_path(spark, name)
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
+
+
+def run_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, WHOLE_STAGES)

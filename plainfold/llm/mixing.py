@@ -1,9 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Documents are dealt to shards by a seeded hash and packed, in that order, into blocks of equal token counts within their
-source and shard (a document counts where it begins). The most blocks that can hold the target weights without using
-any twice are allotted to the sources by highest quotients weight / (2 s + 1), each source's blocks to its shards in
-the same way, and each shard takes so many of its blocks in seeded order.
+source and shard (a document counts where it begins). Blocks are allotted to the sources by highest quotients
+weight / (2 s + 1), each source's blocks to its shards in the same way, and each shard takes so many of its blocks in
+seeded order. How many blocks there are to allot is said by ``tokens``: a budget, of which a source that is too scarce
+gives all its blocks and the others the rest (WHOLE: every block of every source of some weight); or None, the most
+blocks that hold the target weights without using any twice, which the source scarcest against its weight decides.
+``shares`` reports what of each source is taken, and how far that lies from its weight.
 
 Defined results: a null source is a source of its own, written ''. A null or empty text has no tokens and goes with the
 block that it falls into. Ties between quotients go to the source (shard) that sorts first. Repeated rows are rows of
@@ -23,6 +26,7 @@ from . import common as C
 
 SEED, BLOCK_TOKENS, SHARD_TOKENS = 17, 8192, 1 << 23
 WEIGHTS, OTHER_WEIGHT = {"src0": 10}, 1
+WHOLE = 1 << 62  # a token budget that no corpus reaches
 
 
 def apportion(weights: list, room: list[int], seats: int) -> list[int]:
@@ -72,13 +76,19 @@ def _blocks(sized: DataFrame, total: int, block_tokens: int, shard_tokens: int)
     return placed.withColumn("_block", F.floor((F.sum("_tokens").over(before) - F.col("_tokens")) / F.lit(block_tokens)).cast("long"))
 
 
-def quotas(available: DataFrame, weights: dict, other) -> DataFrame:
-    """(source, shard, quota) from (source, shard, blocks). One row a source comes to the driver."""
+def allotted(available: DataFrame, weights: dict, other, seats: int | None) -> list[tuple]:
+    """(source, weight, blocks, blocks taken) from (source, shard, blocks). One row a source comes to the driver."""
     totals = sorted((r["_source"], r["n"]) for r in available.groupBy("_source").agg(F.sum("_n").alias("n")).collect())
     ws = [weights.get(s, other) for s, _ in totals]
-    whole = sum(Fraction(w) for w in ws)
-    seats = min((floor(n * whole / Fraction(w)) for (_, n), w in zip(totals, ws) if w > 0), default=0)
-    got = dict(zip([s for s, _ in totals], apportion(ws, [n for _, n in totals], seats)))
+    if seats is None:
+        whole = sum(Fraction(w) for w in ws)
+        seats = min((floor(n * whole / Fraction(w)) for (_, n), w in zip(totals, ws) if w > 0), default=0)
+    return [(s, w, n, got) for (s, n), w, got in zip(totals, ws, apportion(ws, [n for _, n in totals], seats))]
+
+
+def quotas(available: DataFrame, weights: dict, other, seats: int | None = None) -> DataFrame:
+    """(source, shard, quota) from (source, shard, blocks)."""
+    got = {s: taken for s, _, _, taken in allotted(available, weights, other, seats)}
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_shard")
@@ -89,42 +99,67 @@ def quotas(available: DataFrame, weights: dict, other) -> DataFrame:
     return available.groupBy("_source").applyInPandas(one, "_source string, _shard long, _quota long")
 
 
-def _chosen(blocks: DataFrame, weights: dict, other, seed: int) -> DataFrame:
-    q = quotas(blocks.groupBy("_source", "_shard").agg(F.count("*").alias("_n")), weights, other)
+def _seats(tokens: int | None, block_tokens: int) -> int | None:
+    return None if tokens is None else -(-tokens // block_tokens)
+
+
+def _counted(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("_source", "_shard").agg(F.count("*").alias("_n"))
+
+
+def _chosen(blocks: DataFrame, weights: dict, other, seed: int, seats: int | None) -> DataFrame:
+    q = quotas(_counted(blocks), weights, other, seats)
     nth = Window.partitionBy("_source", "_shard").orderBy(F.md5(F.concat_ws(":", F.lit(seed), "_source", "_shard", "_block").cast("binary")))
     ranked = blocks.withColumn("_nth", F.row_number().over(nth))
     return ranked.join(q, ["_source", "_shard"]).where("_nth <= _quota").select("_source", "_shard", "_block")
 
 
-def _mixed(rows: DataFrame, prefix: str, weights: dict, other, block_tokens: int, shard_tokens: int, seed: int) -> DataFrame:
+def _mixed(rows: DataFrame, prefix: str, weights: dict, other, block_tokens: int, shard_tokens: int, seed: int, tokens: int | None) -> DataFrame:
     """rows that fall into chosen blocks, with _source, _shard, _block and _tokens."""
     light = C.materialise(_sized(rows.select(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("doc_id", "source", "text")]).alias("_in")), "_in.", seed).select("_source", "_tokens", "_order"), "mix-sizes")
     total = light.agg(F.sum("_tokens")).first()[0] or 0
     blocks = C.materialise(_blocks(light, total, block_tokens, shard_tokens).select("_source", "_shard", "_block").distinct(), "mix-blocks")
-    chosen = _chosen(blocks, weights, other, seed)
+    chosen = _chosen(blocks, weights, other, seed, _seats(tokens, block_tokens))
     return _blocks(_sized(rows, prefix, seed), total, block_tokens, shard_tokens).join(chosen, ["_source", "_shard", "_block"], "left_semi")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED) -> DataFrame:
+def mix(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED, tokens: int | None = None) -> DataFrame:
     """The rows of docs that the mixture takes, with all their columns."""
-    return C.unpacked(_mixed(C.packed(docs), "row.", WEIGHTS if weights is None else weights, other, block_tokens, shard_tokens, seed))
+    return C.unpacked(_mixed(C.packed(docs), "row.", WEIGHTS if weights is None else weights, other, block_tokens, shard_tokens, seed, tokens))
 
 
-def plan(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED) -> DataFrame:
+def plan(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED, tokens: int | None = None) -> DataFrame:
     """(doc_id, source, shard, block, tokens) of each row that the mixture takes."""
     rows = docs.select(F.struct("doc_id", "source", "text").alias("row"))
     sized = _sized(rows, "row.", seed).select(F.col("row.doc_id").alias("doc_id"), "_source", "_tokens", "_order")
     light = C.materialise(sized, "mix-sizes")
     total = light.agg(F.sum("_tokens")).first()[0] or 0
     placed = C.materialise(_blocks(light, total, block_tokens, shard_tokens), "mix-placed")
-    chosen = _chosen(placed.select("_source", "_shard", "_block").distinct(), WEIGHTS if weights is None else weights, other, seed)
+    chosen = _chosen(placed.select("_source", "_shard", "_block").distinct(), WEIGHTS if weights is None else weights, other, seed, _seats(tokens, block_tokens))
     return placed.join(chosen, ["_source", "_shard", "_block"], "left_semi").select("doc_id", F.col("_source").alias("source"), F.col("_shard").alias("shard"), F.col("_block").alias("block"), F.col("_tokens").alias("tokens"))
 
 
+def shares(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED, tokens: int | None = None) -> DataFrame:
+    """(source, blocks, taken, kept_share, deviation): deviation is the share in the mixture less the target share."""
+    rows = docs.select(F.struct("doc_id", "source", "text").alias("row"))
+    light = C.materialise(_sized(rows, "row.", seed).select("_source", "_tokens", "_order"), "mix-sizes")
+    total = light.agg(F.sum("_tokens")).first()[0] or 0
+    blocks = _blocks(light, total, block_tokens, shard_tokens).select("_source", "_shard", "_block").distinct()
+    found = allotted(_counted(blocks), WEIGHTS if weights is None else weights, other, _seats(tokens, block_tokens))
+    whole, all_taken = sum(w for _, w, _, _ in found), sum(taken for *_, taken in found)
+    out = [(s, n, taken, taken / n, taken / max(1, all_taken) - float(w / whole if whole else 0)) for s, w, n, taken in found]
+    return docs.sparkSession.createDataFrame(out, "source string, blocks long, taken long, kept_share double, deviation double")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def query_whole(spark, sf_dir: str) -> DataFrame:
+    """As query, but the whole corpus is the budget, however scarce a source is."""
+    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens=WHOLE)
+
+
 def _oracle() -> str:
     weight = "case " + " ".join(f"when source = '{s}' then {w}" for s, w in WEIGHTS.items()) + f" else {OTHER_WEIGHT} end"
     return f"""with d as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) as tokens, md5('{SEED}:' || coalesce(doc_id::varchar, '')) as ord from documents),
@@ -143,3 +178,5 @@ def _oracle() -> str:
 
 
 ORACLE = _oracle()
+#: With every block taken, what is left to check is how documents are placed.
+ORACLE_WHOLE = ORACLE[: ORACLE.index(",\n    bl as")] + "\n    select doc_id, source, shard, block, tokens::bigint as tokens from b"

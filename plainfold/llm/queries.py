@@ -11,7 +11,8 @@ QUERIES = {
     "op5_substring": substring.query,
     "op6_token_rollup": token_rollup.query,
     "op7_mixing": mixing.query,
+    "mixing_whole": mixing.query_whole,
     "op8_simhash": simhash.query,
     "op9_quality": quality.query,
 }
-ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "op9_quality": quality.ORACLE}
+ORACLES = {"op2_exact_dedup": exact_dedup.ORACLE, "op4_warc": warc.ORACLE, "op7_mixing": mixing.ORACLE, "mixing_whole": mixing.ORACLE_WHOLE, "op9_quality": quality.ORACLE}
