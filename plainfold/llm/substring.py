@@ -1,16 +1,14 @@
-"""Substring dedup by relative Lempel-Ziv factors.
+"""Substring dedup by windows of MIN_WORDS words, grouped by their least hashes.
 
-The reference is the corpus itself, cut into blocks of BLOCK words each, which are indexed by winnowed anchors: of every
-WINDOW successive hashes of ANCHOR words the least is kept, so any passage of ANCHOR + WINDOW - 1 words keeps the same
-anchors wherever it stands, and anchors that follow each other in it leave no word between them. A document is factored
-against every block that holds one of its anchors: copies of an anchor in another document give source positions, and
-anchors with the same source and offset chain greedily into one factor. A factor is then checked at both boundaries:
-the words beyond its first and last anchors are compared with the source's, to the exact place where they part.
-Factors of MIN_WORDS words or more are duplicate spans; overlapping ones of a document are joined.
+Every window of MIN_WORDS words that stands in two documents is found, whichever and however many documents those are.
+A window's key is the least hash of the ANCHOR-word grams in it, so copies of it have the same key wherever they stand.
+Successive windows with one key at one place form a run. Runs whose keys are in one document only are left out;
+a run that another document has as a whole is settled by one hash. Of the other runs with shared keys, and of two copies
+(in different documents) of each settled run with such a key, every window's hash is compared. Windows that overlap or
+touch are joined to spans.
 
-The source of an anchor is its first occurrence by (doc_id, position); for the document that holds that one, its last.
-Both occurrences of a passage are hence reported, by whichever document they stand in. Where a text repeats itself over
-and over, the source so chosen may end first, and an end of a span lie up to WINDOW words short.
+The source of a run (window) is its first occurrence by (doc_id, position); for the document that holds that one, its
+last. Both occurrences of a passage are hence reported, by whichever document they stand in.
 
 Defined results: words are what lies between ASCII white space. Null, empty and shorter texts have no span. Repeats
 within one document are not counted, so repeated rows of one doc_id are one document; rows without a doc_id are left out.
@@ -27,8 +25,7 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-MIN_WORDS, ANCHOR, WINDOW = 50, 25, 25
-EDGE = WINDOW + 1  # words that may lie between a factor's last anchor and its true end
+MIN_WORDS, ANCHOR, WINDOW = 50, 25, 25  # MIN_WORDS words are those of one anchor and WINDOW words more
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray):
@@ -36,9 +33,9 @@ def _word_hashes(data: np.ndarray, offsets: np.ndarray):
     return C.span_hash(C.prefix_hash(data), start, end), start, end, row
 
 
-def _slide(h: np.ndarray, w: int, least: bool) -> np.ndarray:
-    """Least (or greatest) of every w successive values."""
-    pick = np.minimum if least else np.maximum
+def _slide(h: np.ndarray, w: int) -> np.ndarray:
+    """Least of every w successive values."""
+    pick = np.minimum
     out, have = h, 1
     while have * 2 <= w:
         out = pick(out[:-have], out[have:])
@@ -46,108 +43,95 @@ def _slide(h: np.ndarray, w: int, least: bool) -> np.ndarray:
     return pick(out[: len(out) - (w - have)], out[w - have :]) if w > have else out
 
 
-def anchors(words: np.ndarray, row: np.ndarray, k: int, w: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (indexes into words) and hashes of the anchors."""
-    n = len(words) - k + 1
-    if n < w:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+def _windows(words: np.ndarray, row: np.ndarray, span: int, k: int):
+    """Places (indexes into words) of the windows of ``span`` words within one document, their keys and hashes."""
+    n = len(words) - span + 1
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     prefix = C.prefix_hash(words)
-    at = np.arange(n)
-    h = C.span_hash(prefix, at, at + k)
-    low = _slide(h, w, True)  # low[j]: least of h[j : j + w]
-    whole = row[: len(low)] == row[w + k - 2 :][: len(low)]  # windows within one document
-    low = np.where(whole, low, np.uint64(0))
-    high = np.zeros(n, np.uint64)  # greatest low of the windows that hold i
-    padded = np.concatenate([np.zeros(w - 1, np.uint64), low, np.zeros(w - 1, np.uint64)])
-    high = _slide(padded, w, False)[:n]
-    found = np.flatnonzero((high == h) & (h > 0))
-    return found, h[found]
+    at = np.arange(n + span - k)
+    keys = _slide(C.span_hash(prefix, at, at + k), span - k + 1)
+    at = np.flatnonzero(row[:n] == row[span - 1 :])
+    return at, keys[at], C.span_hash(prefix, at, at + span)
 
 
-_ANCHORS = pa.schema([("hash", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
+_RUNS = pa.schema([("key", pa.int64()), ("run", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32())])
 
 
-def _anchored(k: int, w: int):
-    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _runs(span: int, k: int):
+    """Successive windows of one key; ``run`` is a hash of all words of the run."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             data, offsets, _ = C.text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0))
             words, _, _, row = _word_hashes(data, offsets)
-            at, h = anchors(words, row, k, w)
-            if len(at):
-                first = np.searchsorted(row, np.arange(len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[row[at]].astype(np.int64)), pa.array((at - first[row[at]]).astype(np.int32))], schema=_ANCHORS)
+            at, key, _ = _windows(words, row, span, k)
+            if not len(at):
+                continue
+            new = np.concatenate([[True], (key[1:] != key[:-1]) | (np.diff(at) != 1)])
+            start = at[new]
+            n = np.diff(np.append(np.flatnonzero(new), len(at)))
+            whole = C.span_hash(C.prefix_hash(words), start, start + n + span - 1)
+            first = np.searchsorted(row, np.arange(len(ids)))
+            yield C.batch_of(_RUNS, key[new].view(np.int64), whole.view(np.int64), ids[row[start]].astype(np.int64), (start - first[row[start]]).astype(np.int32), n.astype(np.int32))
 
-    return anchored
+    return runs
 
 
-_EDGES = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+_HASHES = pa.schema([("window", pa.int64()), ("doc_id", pa.int64()), ("pos", pa.int32())])
 
 
-def _edges(edge: int):
-    """For each place asked for, the hashes of up to ``edge`` words before it (nearest first) and from it on."""
+def _hashes(span: int, k: int):
+    """Hash and place of each window of the runs asked for."""
 
-    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in C.slices(batches):
             data, offsets, _ = C.text_buffers(batch.column(1))
             ids = np.asarray(batch.column(0))
             words, _, _, row = _word_hashes(data, offsets)
             first = np.searchsorted(row, np.arange(len(ids) + 1))
             asked = batch.column(2)
-            counts = np.asarray(asked.value_lengths())
-            of = np.repeat(np.arange(len(ids)), counts)
-            pos = np.asarray(asked.flatten()).astype(np.int64)
-            here = first[of] + pos
-            before = [words[max(lo, p - edge) : p][::-1].tobytes() for lo, p in zip(first[of].tolist(), here.tolist())]
-            after = [words[p : min(hi, p + edge)].tobytes() for hi, p in zip(first[of + 1].tolist(), here.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[of].astype(np.int64)), pa.array(pos.astype(np.int32)), pa.array(before, pa.binary()), pa.array(after, pa.binary())], schema=_EDGES)
-
-    return edges
-
-
-def _common(a: pa.Array, b: pa.Array) -> pa.Array:
-    """How many 8-byte words two columns of lists share from their start on."""
-    out = np.zeros(len(a), np.int32)
-    for i, (x, y) in enumerate(zip(a.to_pylist(), b.to_pylist())):
-        if x == y:
-            out[i] = len(x) // 8
-        else:
-            n = min(len(x), len(y)) // 8
-            same = np.frombuffer(x, np.uint64, n) == np.frombuffer(y, np.uint64, n)
-            out[i] = n if same.all() else int(same.argmin())
-    return pa.array(out)
-
-
-def factors(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, end, src_id, shift): maximal factors in words; the source's words are shift further on."""
+            of = np.repeat(np.arange(len(ids)), np.asarray(asked.value_lengths()))
+            flat = asked.flatten()
+            pos, n = (np.asarray(flat.field(i)).astype(np.int64) for i in (0, 1))
+            wanted = np.repeat(pos - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+            of = np.repeat(of, n)
+            there = first[of] + wanted + span <= first[of + 1]  # rows of one doc_id may hold other texts
+            of, wanted = of[there], wanted[there]
+            here = first[of] + wanted
+            yield C.batch_of(_HASHES, C.span_hash(C.prefix_hash(words), here, here + span).view(np.int64), ids[of].astype(np.int64), wanted.astype(np.int32))
+
+    return hashes
+
+
+def _sourced(places: DataFrame, shared: DataFrame, on: list[str], n, span: int) -> DataFrame:
+    """(doc_id, start, end, src_id, shift) of places whose ``on`` has a first and a last occurrence in ``shared``."""
+    source = F.when(F.col("doc_id") == F.col("first.doc_id"), F.col("last")).otherwise(F.col("first"))
+    found = places.join(shared.select(*on, "first", "last"), on).withColumn("src", source)
+    return found.select("doc_id", F.col("pos").alias("start"), (F.col("pos") + n + (span - 1)).cast("int").alias("end"), F.col("src.doc_id").alias("src_id"), (F.col("src.pos") - F.col("pos")).alias("shift"))
+
+
+def pieces(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, start, end, src_id, shift): stretches of shared windows, in words; the source's words are shift further on."""
     text = C.doc_text(docs).where("doc_id is not null and text is not null")
-    found = C.materialise(text.mapInArrow(_anchored(anchor, window), "hash long, doc_id long, pos int"), "anchors")
+    found = C.materialise(text.mapInArrow(_runs(min_words, anchor), "key long, run long, doc_id long, pos int, n int"), "runs")
     place = F.struct("doc_id", "pos")
-    shared = found.groupBy("hash").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.min(place).alias("first"), F.max(place).alias("last")).where("lo < hi").select("hash", "first", "last")
-    source = F.when(F.col("doc_id") == F.col("first.doc_id"), F.col("last")).otherwise(F.col("first"))
-    hits = found.join(shared, "hash").select("doc_id", "pos", source.alias("src")).select("doc_id", "pos", F.col("src.doc_id").alias("src_id"), (F.col("src.pos") - F.col("pos")).alias("shift")).distinct()
-    chain = Window.partitionBy("doc_id", "src_id", "shift").orderBy("pos")
-    new = (F.col("pos") - F.coalesce(F.lag("pos").over(chain), F.lit(-(1 << 30))) > anchor).cast("int")
-    chained = hits.withColumn("new", new).withColumn("nth", F.sum("new").over(chain))
-    chained = C.materialise(chained.groupBy("doc_id", "src_id", "shift", "nth").agg(F.min("pos").alias("lo"), (F.max("pos") + anchor).cast("int").alias("hi")), "factors")
-    # words beyond both boundaries, in the document and in its source
-    ends = F.explode(F.array(F.struct(F.col("doc_id").alias("d"), F.col("lo").alias("p")), F.struct(F.col("doc_id").alias("d"), F.col("hi").alias("p")), F.struct(F.col("src_id").alias("d"), (F.col("lo") + F.col("shift")).alias("p")), F.struct(F.col("src_id").alias("d"), (F.col("hi") + F.col("shift")).alias("p"))))
-    asked = chained.select(ends.alias("e")).select(F.col("e.d").alias("doc_id"), F.col("e.p").cast("int").alias("pos")).distinct().groupBy("doc_id").agg(F.collect_list("pos").alias("asked"))
-    told = C.materialise(text.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_edges(EDGE), "doc_id long, pos int, before binary, after binary"), "edges").dropDuplicates(["doc_id", "pos"])
-
-    def side(name: str, doc: str, pos, what: str) -> DataFrame:
-        return told.select(F.col("doc_id").alias(f"{name}_d"), F.col("pos").alias(f"{name}_p"), F.col(what).alias(name))
-
-    out = chained
-    for name, doc, pos, what in (("ab", "doc_id", F.col("lo"), "before"), ("aa", "doc_id", F.col("hi"), "after"), ("bb", "src_id", F.col("lo") + F.col("shift"), "before"), ("ba", "src_id", F.col("hi") + F.col("shift"), "after")):
-        out = out.join(side(name, doc, pos, what), (F.col(doc) == F.col(f"{name}_d")) & (pos == F.col(f"{name}_p"))).drop(f"{name}_d", f"{name}_p")
-    common = F.arrow_udf(_common, "int")
-    return out.select("doc_id", (F.col("lo") - common("ab", "bb")).alias("start"), (F.col("hi") + common("aa", "ba")).alias("end"), "src_id", "shift")
-
-
-def spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start_word, end_word, src_id, src_word): duplicate spans, and where the first factor of each comes from."""
-    long = factors(docs, anchor, window).where(F.col("end") - F.col("start") >= min_words)
+    kinds = found.groupBy("key", "run").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    alone = F.col("first.doc_id") == F.col("last.doc_id")
+    keys = kinds.groupBy("key").agg(F.min("first.doc_id").alias("lo"), F.max("last.doc_id").alias("hi"), F.max(alone).alias("open")).where("lo < hi").select("key", "open")
+    kinds = C.materialise(kinds.join(keys, "key").withColumn("alone", alone), "run-kinds")
+    settled = _sourced(found, kinds.where("not alone"), ["key", "run"], F.col("n"), min_words)
+    compared = found.join(kinds.where("open"), ["key", "run"]).where(F.col("alone") | (place == F.col("first")) | (place == F.col("last")))
+    asked = compared.select("doc_id", F.struct("pos", "n").alias("run")).groupBy("doc_id").agg(F.array_distinct(F.collect_list("run")).alias("asked"))
+    windows = C.materialise(text.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_hashes(min_words, anchor), "window long, doc_id long, pos int"), "windows")
+    twice = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.doc_id < last.doc_id")
+    return settled.unionAll(_sourced(windows, twice, ["window"], F.lit(1), min_words))
+
+
+def spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, start_word, end_word, src_id, src_word): duplicate spans, and where the first piece of each comes from."""
+    long = pieces(docs, min_words, anchor)
     order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "src_id", "shift")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     island = F.sum((F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")).over(order)
