@@ -97,6 +97,32 @@ def needs_format(spark, sf_dir):
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("changes").cast("long")).alias("n_changed"))
 
 
+# The same over every document, Markdown too: its kernel is beyond SQL, so these are held against it row by row in tests.
+
+
+def _all_formatted(options: Options):
+    return lambda spark, sf_dir: api.reflow(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", options).select("doc_id", "formatted")
+
+
+def sentence_rows_all(spark, sf_dir):
+    """Plain documents as in sentence_rows; of the others the lines of the result, which for Markdown is what stands on a line."""
+    plain = F.split(P.split_sentences(P.joined(F.col("text"))), f"[\n{P.KEPT}]", -1)
+    d = api.reflow(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = F.when(P.is_plain(F.col("text")), plain).otherwise(F.split("formatted", "\r?\n", -1))
+    return d.select("doc_id", F.explode(lines).alias("sentence")).where("sentence <> ''")
+
+
+def needs_format_all(spark, sf_dir):
+    d = api.needs_format(_table(spark, sf_dir, "documents").select("lang", "text"))
+    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("needs_format").cast("long")).alias("n_changed"))
+
+
+def exit_code_by_source_all(spark, sf_dir):
+    t = F.col("text")
+    d = api.needs_format(_table(spark, sf_dir, "documents").select("source", "text")).select("source", t.isNull().alias("usage"), P.has_control(t).alias("refused"), F.col("needs_format").alias("changed"))
+    return d.groupBy("source").agg(exit_code(F.col("usage"), F.col("refused"), F.col("changed")).alias("code"))
+
+
 def abbrev_suppressed(spark, sf_dir):
     """How often an abbreviation stands where a sentence would else end; the table of them has a fixed size."""
     known = spark.createDataFrame([(a,) for a in ABBREVIATIONS], "token string")
@@ -222,6 +248,14 @@ QUERIES = {
     "wrap40": _formatted(Options("wrap", max_width=40)),
     "sentence_mw80": _formatted(Options("sentence", max_width=80)),
     "needs_format": needs_format,
+    "para_mode_all": _all_formatted(Options("para")),
+    "sentence_rows_all": sentence_rows_all,
+    "sentence_mode_all": _all_formatted(Options()),
+    "wrap80_all": _all_formatted(Options("wrap")),
+    "wrap40_all": _all_formatted(Options("wrap", max_width=40)),
+    "sentence_mw80_all": _all_formatted(Options("sentence", max_width=80)),
+    "needs_format_all": needs_format_all,
+    "exit_code_by_source_all": exit_code_by_source_all,
     "abbrev_suppressed": abbrev_suppressed,
     "clause_breaks": clause_breaks,
     "regex_nobreak_spans": regex_nobreak_spans,
