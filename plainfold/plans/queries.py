@@ -82,6 +82,15 @@ def paragraph_runs(spark, sf_dir):
     return d.groupBy("page_id", "run").agg((F.min("at") + 1).cast("long").alias("start_line"), (F.max("at") + 1).cast("long").alias("end_line")).select("page_id", "start_line", "end_line")
 
 
+def paragraph_runs_all(spark, sf_dir):
+    """Runs of lines that are not blank, of documents as they stand and of pages as in paragraph_runs."""
+    docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    w = Window.partitionBy("id").orderBy("at")
+    docs = docs.withColumn("run", F.sum((F.trim("line") == "").cast("long")).over(w)).where(F.trim("line") != "")
+    docs = docs.groupBy("table_name", "id", "run").agg((F.min("at") + 1).cast("long").alias("start_line"), (F.max("at") + 1).cast("long").alias("end_line")).drop("run")
+    return docs.unionAll(paragraph_runs(spark, sf_dir).select(F.lit("pages").alias("table_name"), F.col("page_id").alias("id"), "start_line", "end_line"))
+
+
 def _formatted(options: Options):
     return lambda spark, sf_dir: _plain(spark, sf_dir).select("doc_id", P.reflowed(F.col("text"), options).alias("formatted"))
 
@@ -241,6 +250,7 @@ QUERIES = {
     "doc_lines": doc_lines,
     "route_tier": route_tier,
     "paragraph_runs": paragraph_runs,
+    "paragraph_runs_all": paragraph_runs_all,
     "para_mode": _formatted(Options("para")),
     "sentence_rows": sentence_rows,
     "sentence_mode": _formatted(Options()),
@@ -286,6 +296,10 @@ ORACLES = {
     "paragraph_runs": """with l as (select page_id, unnest(s) as line, generate_subscripts(s, 1) as pos from (select page_id, string_split(regexp_replace(html, '(</[a-z0-9]+>)', '\\1' || chr(10), 'g'), chr(10)) as s from pages)),
       r as (select *, pos - row_number() over (partition by page_id order by pos) as run from l where trim(line) <> '')
       select page_id, min(pos) as start_line, max(pos) as end_line from r group by page_id, run""",
+    "paragraph_runs_all": """with l as (select 'documents' as table_name, doc_id as id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
+      union all select 'pages', page_id, unnest(s), generate_subscripts(s, 1) from (select page_id, string_split(regexp_replace(html, '(</[a-z0-9]+>)', '\\1' || chr(10), 'g'), chr(10)) as s from pages)),
+      r as (select *, pos - row_number() over (partition by table_name, id order by pos) as run from l where trim(line) <> '')
+      select table_name, id, min(pos) as start_line, max(pos) as end_line from r group by table_name, id, run""",
     "para_mode": f"with {_JOINED} select doc_id, replace(line, chr(1), chr(10)) as formatted from joined",
     "sentence_rows": f"with {_JOINED}, {_SENTENCES} select doc_id, sentence from sentences where sentence <> ''",
     "sentence_mode": f"with {_SENTENCE_MODE} select doc_id, formatted from done",

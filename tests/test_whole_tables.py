@@ -46,3 +46,11 @@ def test_sentences_of_all_documents(spark, small):
     rows, sf = small
     lines = collections.Counter((i, x) for i, t, *_ in rows if t for x in kernel.reflow(t, Options()).split("\n") if x)
     assert collections.Counter(map(tuple, queries.sentence_rows_all(spark, sf).collect())) == lines
+
+
+def test_paragraph_runs_of_documents(spark, tmp_path):
+    docs = [(1, "a\nb\n\n \nc"), (2, None), (3, ""), (4, "\n\nd\n")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, "<p>x</p>\n<b>y")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = sorted(map(tuple, queries.paragraph_runs_all(spark, str(tmp_path)).collect()))
+    assert got == [("documents", 1, 1, 2), ("documents", 1, 5, 5), ("documents", 4, 3, 3), ("pages", 1, 1, 1), ("pages", 1, 3, 3)]
