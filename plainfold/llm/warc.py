@@ -129,7 +129,7 @@ class Source:
 
 def member(source: Source, at: int) -> tuple[dict[str, str], bytes, int] | None:
     """The record whose member begins at ``at``: headers, payload and the place after it. None if there is none."""
-    z, parts, n, head = zlib.decompressobj(31), [], 0, None
+    z, parts, n, head, tried = zlib.decompressobj(31), [], 0, None, 9
     while not z.eof:
         block = source.read(at)
         if not block:
@@ -141,11 +141,12 @@ def member(source: Source, at: int) -> tuple[dict[str, str], bytes, int] | None:
         at += len(block)
         parts.append(got)
         n += len(got)
-        if head is None and (n >= HEADER_BYTES or z.eof or n > 8):
+        if head is None and (z.eof or n >= tried):
             parts = [b"".join(parts)]
             head = parse_head(parts[0])
-            if head is None and (n >= HEADER_BYTES or z.eof or not parts[0].startswith(b"WARC/1.")):
+            if head is None and (z.eof or not parts[0].startswith(b"WARC/1.") or b"\r\n\r\n" in parts[0]):
                 return None  # a candidate costs no more than its headers
+            tried = max(HEADER_BYTES, 2 * n) if n >= HEADER_BYTES else 9  # headers may be of any length
     headers, begin = head
     body = b"".join(parts)
     length = int(headers["content-length"])

@@ -1,9 +1,13 @@
 """Whole tables, where a bound used to leave some of them out."""
 
+import random
+
 import duckdb
 
+from plainfold.llm import common as C
 from plainfold.llm import mixing as M
 from plainfold.llm import substring as R
+from plainfold.llm import warc as W
 
 from .test_dedup import brute_spans
 
@@ -31,8 +35,6 @@ def test_mixing_whole_matches_sql(spark):
 
 def test_spans_are_found_whatever_other_documents_hold(spark):
     """A line of 30 to 49 words that many documents have, inside passages that few have."""
-    import random
-
     r = random.Random(9)
     some = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
     rows, n = [], 0
@@ -57,3 +59,11 @@ def test_spans_equal_all_windows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     want = brute_spans([(r.doc_id, r.text) for r in docs.collect()], R.MIN_WORDS)
     assert {(r.doc_id, x) for r in R.spans(docs).collect() for x in range(r.start_word, r.end_word)} == want
+
+
+def test_pages_with_long_urls_come_back(spark):
+    r = random.Random(3)
+    rows = [(i, "http://h/" + "".join(r.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)), "<p>x</p>") for i, n in enumerate((10, 70_000, 200_000, 1_000_000, 20))]
+    folder = "file:///" + C.work_path(spark, "warc-long").split(":", 1)[1].lstrip("/")
+    W.write_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), folder)
+    assert sorted(map(tuple, W.pages(W.read(spark, folder)).collect())) == rows
