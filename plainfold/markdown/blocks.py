@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import count
 
 _FENCE = re.compile(r"(`{3,})[^`]*$|(~{3,})")
 _ATX = re.compile(r"#{1,6}(?:[ \t]|$)")
@@ -38,6 +39,7 @@ class Block:
     lines: list[tuple[int, int]] = field(default_factory=list)  # line number, offset of the content in it
     depth: int = 0
     path: tuple = ()
+    inside: tuple = ()  # (number, kind) of each container around it
     in_quote: bool = False
     blank_before: bool = True
     previous: str = ""  # kind of the sibling before
@@ -57,8 +59,8 @@ def definition(text: str) -> tuple[tuple, int] | None:
 
 
 class _Container:
-    def __init__(self, kind: str, indent: int = 0, marker: str = ""):
-        self.kind, self.indent, self.marker, self.last, self.blank = kind, indent, marker, "", True
+    def __init__(self, kind: str, indent: int = 0, marker: str = "", number: int = 0):
+        self.kind, self.indent, self.marker, self.number, self.last, self.blank = kind, indent, marker, number, "", True
 
 
 def _columns(line: str, at: int, col: int) -> tuple[int, int]:
@@ -77,7 +79,7 @@ def _cells(row: str) -> int:
 
 def scan(lines: list[str]) -> list[Block]:
     """All leaf blocks, in order; lines come without their newlines."""
-    root = _Container("root")
+    root, numbers = _Container("root"), count(1)
     stack, out = [root], []
     leaf: Block | None = None  # open leaf
     ends = None  # what ends an open HTML block or fence
@@ -91,7 +93,7 @@ def scan(lines: list[str]) -> list[Block]:
             while (d := definition(text)) is not None:
                 used = text[: d[1]].count("\n") + (0 if text[: d[1]].endswith("\n") else 1)
                 if 0 < used <= len(leaf.lines):
-                    out.append(Block("def", leaf.lines[:used], leaf.depth, leaf.path, leaf.in_quote, leaf.blank_before, leaf.previous, text[: d[1]].strip()))
+                    out.append(Block("def", leaf.lines[:used], leaf.depth, leaf.path, leaf.inside, leaf.in_quote, leaf.blank_before, leaf.previous, text[: d[1]].strip()))
                     leaf.lines, text, had = leaf.lines[used:], text[d[1] :], True
                     leaf.previous, leaf.blank_before = "def", False
                 if not leaf.lines:
@@ -111,7 +113,7 @@ def scan(lines: list[str]) -> list[Block]:
         close()
         owner = stack[-1]
         depth = sum(c.kind in ("quote", "list") for c in stack)
-        leaf = Block(kind, [(n, at)], depth, tuple(c.kind + c.marker for c in stack[1:]), any(c.kind == "quote" for c in stack), owner.blank, owner.last)
+        leaf = Block(kind, [(n, at)], depth, tuple(c.kind + c.marker for c in stack[1:]), tuple((c.number, c.kind) for c in stack[1:]), any(c.kind == "quote" for c in stack), owner.blank, owner.last)
         owner.blank = False
         return leaf
 
@@ -200,6 +202,8 @@ def scan(lines: list[str]) -> list[Block]:
                         begin("indent", n, at)
                     done = True
                 break
+            if rest[:1].isalpha():
+                break
             if rest.startswith(">"):
                 cut()
                 if para_open:
@@ -209,7 +213,7 @@ def scan(lines: list[str]) -> list[Block]:
                     close()
                 while stack[-1].kind == "list":
                     stack.pop()
-                stack.append(_Container("quote"))
+                stack.append(_Container("quote", number=next(numbers)))
                 stack[-2].last, stack[-2].blank = "quote", False
                 at, col = i + 1, k + 1
                 if at < len(line) and line[at] in " \t":
@@ -249,8 +253,8 @@ def scan(lines: list[str]) -> list[Block]:
                 close()
                 done = True
                 break
-            found = next(((e, j) for j, (s, e) in enumerate(_HTML) if s.match(rest)), None)
-            if found is None and not (para_open and not made) and _ANY_TAG.match(rest):
+            found = next(((e, j) for j, (s, e) in enumerate(_HTML) if s.match(rest)), None) if rest.startswith("<") else None
+            if found is None and rest.startswith("<") and not (para_open and not made) and _ANY_TAG.match(rest):
                 found = (None, 6)
             if found:
                 cut()
@@ -279,12 +283,12 @@ def scan(lines: list[str]) -> list[Block]:
                     stack.pop()
                 if stack[-1].kind != "list":
                     stack[-1].last, stack[-1].blank = "list", False
-                    stack.append(_Container("list", marker=kind))
+                    stack.append(_Container("list", marker=kind, number=next(numbers)))
                 width = m.end()
                 pad = akol - (k + width)
                 if empty or pad > 4:
                     pad = 1
-                item = _Container("item", k + width + pad)
+                item = _Container("item", k + width + pad, number=next(numbers))
                 stack.append(item)
                 at, col = i + width, k + width
                 while col < item.indent and at < len(line) and line[at] in " \t":
@@ -311,7 +315,7 @@ def scan(lines: list[str]) -> list[Block]:
                     continue
             leaf.lines.append((n, i))
             continue
-        if leaf is not None and leaf.kind == "table" and matched == len(stack) and not made:
+        if leaf is not None and leaf.kind == "table" and matched == len(stack) and not made and not _SETEXT.match(line[i:]):
             leaf.lines.append((n, i))
             continue
         if leaf is not None and not made:

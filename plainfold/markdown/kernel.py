@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 
 from plainfold.functions.rules import DIALECT_RULES
 from plainfold.markdown import blocks as B
 from plainfold.markdown import inline as I
+from plainfold.markdown import render
 from plainfold.options import Options
 
 _SPACE = "\t\n\v\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
@@ -21,6 +22,8 @@ _CHAIN = re.compile("^" + _MARKERS + _SHAPE.pattern)
 _FOOTNOTE = re.compile(r"^\\?\[\^[^\]\s][^\]]*\]:")
 _BARE_CARET = re.compile(r"\\?\[\^[^\]\s][^\]]*\]:[ \t\r]*$")
 _ORPHAN = re.compile(r"^(?:[^\\\[\]]|\\.)*\]:")
+_ADMONITION_HEAD = re.compile(r"(?:!!!|\?\?\?\+?)[ \t]+\S")
+_CHECKBOX = re.compile(r"\[[ \txX]\][ \t\r]*")
 _ADMONITION = re.compile(r"^(?:!!!|\?\?\?\+?)")
 _ALERTS = "|".join(("CAUTION", "WARNING", "NOTE", "IMPORTANT", "TIP"))
 _MARKER_START = re.compile(r"[\t ]*(?:" + "|".join(map(re.escape, ("$$", "+++", ":::", "{{%", "{{<"))) + rf"|\[!(?:{_ALERTS})\]|\{{[^}}{{]*\}})")
@@ -31,10 +34,13 @@ _BREAK_TAG = re.compile(r"[\r\t ]*<br(?:[\t ]*/)?>[\r\t ]*$", re.I | re.A)
 _END_TAG = re.compile(r"<br[\t ]*/?>[\t\r ]*$", re.I | re.A)
 _SENTENCE_END = re.compile("[!.?…]+['\")’”\\]]*(?=[\t\r ])")
 _RUN = re.compile(r"[ \t\r]+")
+_BLANKS = re.compile(r"\r*[ \t][ \t\r]*")
 _RUN_OR_LINE = re.compile(r"[ \t\r\n]+")
 _FENCE_RUN = re.compile(r"`{3,}|~{3,}")
 _CLAUSE = re.compile(r"[,;](?=[ \t\r])")
-_ENTITY = re.compile(r"&#?[A-Za-z0-9]+;$")
+_ENTITY = re.compile(r"&#?[A-Za-z0-9]+;")
+_WIDE = re.compile(r"[ \t\r]{2,}")
+_FENCE_START = re.compile(r"[`~]*")
 _ORDERED = re.compile(r"([0-9]{1,9})([.)])([ \t\n\f\r]|$)")
 _TRIGGER = re.compile(rf"#{{1,6}}([ \t\n\f\r]|$)|>|[-*+]([ \t\n\f\r]|$)|<[!?]|{B.BLOCK_TAG.pattern}", re.I | re.A)
 _LONE_TAG = re.compile(r"<(?:/ *)?[a-zA-Z][-0-9a-zA-Z]*(?: [^\t<>]*)?/?> *$")
@@ -62,7 +68,7 @@ def _facts(lines: list[str]):
     """For each line: whether a definition may begin on it, and whether one may on an earlier line of its run."""
     own, above, seen = [], [], False
     for line in lines:
-        fact = bool(_CHAIN.search(line) or _ORPHAN.search(line) or _BARE_CARET.search(line) or B.definition(re.sub("^" + _MARKERS, "", line)))
+        fact = "]:" in line and bool(_CHAIN.search(line) or _ORPHAN.search(line) or _BARE_CARET.search(line) or B.definition(re.sub("^" + _MARKERS, "", line)))
         if line.strip(" \t\r") == "":
             seen = fact = False
         above.append(seen)
@@ -72,6 +78,8 @@ def _facts(lines: list[str]):
 
 
 def _unclosed(lines: list[str]) -> bool:
+    if not any("[" in x for x in lines):
+        return False
     depth = 0
     for n, line in enumerate(lines):
         for c in line:
@@ -82,6 +90,8 @@ def _unclosed(lines: list[str]) -> bool:
 
 
 def _open_target(lines: list[str]) -> bool:
+    if not any("](" in x for x in lines):
+        return False
     stack: list[bool] = []
     for n, line in enumerate(lines):
         for j, c in enumerate(line):
@@ -95,6 +105,8 @@ def _open_target(lines: list[str]) -> bool:
 
 
 def _masked(lines: list[str]) -> list[str]:
+    if not any("`" in x for x in lines):
+        return lines
     text = list("\n".join(lines))
     for a, b in I.code_spans("".join(text)):
         for k in range(a, b):
@@ -103,6 +115,14 @@ def _masked(lines: list[str]) -> list[str]:
     return "".join(text).split("\n")
 
 
+def _reached(before: str, first: str) -> bool:
+    """Whether a label that begins on the line before a paragraph closes in it, or may begin a definition above it."""
+    if "[" not in before:
+        return False
+    found = _SHAPE.finditer(before + "\n" + first)
+    return any(m.end() > len(before) or not before[: m.start()].strip(" \t>+*.)0123456789-") for m in found)
+
+
 def _frozen(block: B.Block, lines: list[str], own, above, defs: list[B.Block]) -> str | None:
     """Why a paragraph stays as it is, in order of precedence."""
     if block.depth > 2:
@@ -123,10 +143,10 @@ def _frozen(block: B.Block, lines: list[str], own, above, defs: list[B.Block]) -
     raw = "\n".join(lines[n][o:] for n, o in block.lines)
     if _CONTROL.search(raw):
         return "control-bytes"
-    if any(_SHAPE.search(t) or _BARE_CARET.search(t) or _ORPHAN.search(t) for t in texts):
+    if "]:" in raw and any(_SHAPE.search(t) or _BARE_CARET.search(t) or _ORPHAN.search(t) for t in texts):
         return "link-ref-def-shape"
     first = numbers[0]
-    if above[first] or first and own[first - 1]:
+    if above[first] or first and (own[first - 1] or _reached(lines[first - 1].rstrip("\r"), texts[0])):
         return "link-ref-def-neighbor"
     masked = _masked(texts)
     if any("<?" in t or "<!" in t for t in masked):
@@ -142,6 +162,8 @@ def _frozen(block: B.Block, lines: list[str], own, above, defs: list[B.Block]) -
 
 def _boundary(text: str, in_quote: bool, dialect: str, first: bool) -> bool:
     t = text.strip(_SPACE)
+    if t[:1] not in ":{[!?":
+        return False
     return any(kind == "line" and (in_quote or not quoted) and p.search(t) for _, p, kind, quoted in _RULES) or dialect == "mkdocs" and first and bool(_ADMONITION.match(t))
 
 
@@ -177,6 +199,8 @@ def _unfenced(line: str) -> str:
 
 def escaped(line: str, first: bool = True, prefix: str = "", after_text: bool = True) -> str:
     """The line with a backslash before whatever would begin a block where it stands."""
+    if line[:1].isalpha():
+        return line
     if m := _ORDERED.match(line):
         return m.group(1) + "\\" + line[m.end(1) :]
     if _fence(line):
@@ -235,7 +259,9 @@ def sentence_breaks(text: str, abbreviations) -> list[tuple[int, int]]:
 
 def _hazard(text: str, at: int) -> bool:
     """Whether no line may begin at ``at``."""
-    return bool(_MARKER_START.match(text, at) or _FENCE_RUN.match(text, at) or text[at - 1] != " " and _LINK_START.match(text, at))
+    if text[at : at + 1] in "$+:{[`~\t " and (_MARKER_START.match(text, at) or _FENCE_RUN.match(text, at)):
+        return True
+    return text[at - 1] != " " and bool(_LINK_START.match(text, at))
 
 
 def _cuttable(breaks, held, text: str, line_end: bool):
@@ -246,46 +272,67 @@ def _cuttable(breaks, held, text: str, line_end: bool):
             k += 1
         if k < len(held) and held[k][0] < b or _hazard(text, b):
             continue
-        before = text[max(0, a - 64) : a]
-        if line_end and (before[-1:] == "\r" or _odd_tail(before) == 1 or _END_TAG.search(before)):
-            continue
+        if line_end and (text[a - 1] in "\r\\>" if a else False):
+            before = text[max(0, a - 64) : a]
+            if before[-1] == "\r" or _odd_tail(before) == 1 or _END_TAG.search(before):
+                continue
         out.append((a, b))
     return out
 
 
-def _width(text: str) -> int:
-    held, out, at = I.no_break_spans(text) if re.search(r"[ \t\r]{2}", text) else [], 0, 0
-    for m in _RUN.finditer(text):
-        if len(m.group()) > 1 and not any(a <= m.start() and m.end() <= b for a, b in held):
-            out += m.start() - at + 1
-            at = m.end()
-    return out + len(text) - at
-
-
-def _too_long(text: str, start: int, end: int, width: int) -> bool:
-    """Whether so much of text can't fit, told from a stretch of it without what white space might save."""
-    some = text[start : min(end, start + 2 * width + 64)]
-    return len(some) - len(_RUN.findall(some)) - sum(map(len, _RUN.findall(some))) > width
-
+class _Widths:
+    """Widths of stretches of one text, a run of blanks counted as one character: one pass, then subtractions.
 
-def _fits(text: str, width: int, start: int = 0, end: int | None = None) -> bool:
-    end = len(text) if end is None else end
-    return not _too_long(text, start, end, width) and _width(escaped(text[start:end])) <= width
+    What may not be cut is told from the whole text, also for a stretch of it, so that every pass measures alike."""
 
-
-def _ranked(text: str, first, second, width: int) -> list[str]:
-    """Each line ends at the last first-class cut that fits, else the last second-class one, else the next of any."""
-    out, start, n = [], 0, len(text)
-    while start < n and not _fits(text, width, start):
-        cut = None
-        for found in (first, second):
-            k, fitting = bisect_right(found, (start, n)), []
-            while k < len(found) and not _too_long(text, start, found[k][0], width):
-                fitting.append(found[k])
+    def __init__(self, text: str, held: list[tuple[int, int]]):
+        self.text, self.runs, saved, k = text, [], 0, 0
+        self.before = [0]  # characters saved before each run, and by all of them
+        for m in _WIDE.finditer(text):
+            a, b = m.span()
+            while k < len(held) and held[k][1] <= a:
                 k += 1
-            cut = next((x for x in reversed(fitting) if _fits(text, width, start, x[0])), None)
-            if cut:
-                break
+            if not (k < len(held) and held[k][0] <= a) and m.group().strip("\r"):
+                saved += b - a - 1
+                self.runs.append(a)
+                self.before.append(saved)
+
+    def __call__(self, a: int, b: int) -> int:
+        if not self.runs:
+            return b - a
+        return b - a - self.before[bisect_left(self.runs, b)] + self.before[bisect_left(self.runs, a)]
+
+    def _shown(self, a: int, b: int) -> str:
+        out, at = [], a
+        for k in range(bisect_left(self.runs, a), bisect_left(self.runs, b)):
+            run = self.runs[k]
+            out += self.text[at:run], " "
+            at = run + 1 + self.before[k + 1] - self.before[k]
+        return "".join(out) + self.text[at:b]
+
+    def fits(self, a: int, b: int, width: int) -> bool:
+        """Whether a line of this stretch fits, with whatever its start makes it escape."""
+        w = self(a, b)
+        if w > width:
+            return False
+        m = _FENCE_START.match(self.text, a)
+        most = max(1, sum(4 if c == "`" else 1 for c in m.group()))
+        return w + most <= width or len(escaped(self._shown(a, b))) <= width
+
+    def last(self, cuts: list[tuple[int, int]], start: int, width: int) -> tuple[int, int] | None:
+        """The last cut after ``start`` that leaves a line that fits."""
+        first = bisect_right(cuts, (start, len(self.text)))
+        k = bisect_right(cuts, width, first, key=lambda x: self(start, x[0])) - 1
+        while k >= first and not self.fits(start, cuts[k][0], width):
+            k -= 1  # only lines that an escape makes too long come here
+        return cuts[k] if k >= first else None
+
+
+def _ranked(text: str, held, first, second, width: int) -> list[str]:
+    """Each line ends at the last first-class cut that fits, else the last second-class one, else the next of any."""
+    out, start, n, widths = [], 0, len(text), _Widths(text, held)
+    while start < n and not widths.fits(start, n, width):
+        cut = widths.last(first, start, width) or widths.last(second, start, width)
         if cut is None:
             later = [found[k] for found in (first, second) if (k := bisect_right(found, (start, n))) < len(found)]
             if not later:
@@ -298,12 +345,17 @@ def _ranked(text: str, first, second, width: int) -> list[str]:
     return out
 
 
+def _clause(text: str, at: int) -> bool:
+    """Whether a clause ends before ``at``: a comma, or a semicolon that is not an entity's."""
+    return text[at - 1] == "," or text[at - 1] == ";" and not _ENTITY.fullmatch(text, max(0, text.rfind("&", max(0, at - 64), at)), at)
+
+
 def _lines_of(text: str, options: Options) -> list[str]:
     if options.mode == "para":
         return [text]
     held = I.no_break_spans(text)
     if options.mode == "wrap":
-        return _ranked(text, _cuttable([m.span() for m in _RUN.finditer(text) if m.group().strip("\r")], held, text, True), [], options.width)
+        return _ranked(text, held, _cuttable(list(map(re.Match.span, _BLANKS.finditer(text))), held, text, True), [], options.width)
     found = options.segmenter(text) if options.segmenter else sentence_breaks(text, set(options.abbreviations))
     pieces, at = [], 0
     for a, b in _cuttable(found, held, text, False):
@@ -314,13 +366,12 @@ def _lines_of(text: str, options: Options) -> list[str]:
         return pieces
     out = []
     for s in pieces:
-        if _fits(s, options.width):
+        held = I.no_break_spans(s)
+        if _Widths(s, held).fits(0, len(s), options.width):
             out.append(s)
             continue
-        held = I.no_break_spans(s)
-        words = _cuttable([m.span() for m in _RUN.finditer(s) if m.group().strip("\r")], held, s, True)
-        clauses = [x for x in words if s[x[0] - 1] in ",;" and not _ENTITY.search(s[: x[0]])]
-        out += _ranked(s, clauses, words, options.width)
+        words = _cuttable(list(map(re.Match.span, _BLANKS.finditer(s))), held, s, True)
+        out += _ranked(s, held, [x for x in words if _clause(s, x[0])], words, options.width)
     return out
 
 
@@ -331,7 +382,7 @@ def _marker(line: str, has_next: bool, in_code: bool, dialect: str) -> tuple[str
     """A line without its hard break, and how the break is written."""
     if in_code:
         return line, ""
-    if (m := _BREAK_TAG.search(line)) and not (m.start() and line[: line.lower().rfind("<br")].endswith("\\")):
+    if ">" in line[-64:] and (m := _BREAK_TAG.search(line)) and not (m.start() and line[: line.lower().rfind("<br")].endswith("\\")):
         return line[: m.start()], "<br>"
     if has_next and line.endswith("\\") and _odd_tail(line) == 1:
         return line[:-1].rstrip(" \t\r"), "\\"
@@ -348,12 +399,20 @@ def _attached(text: str, marker: str) -> str:
     return text + marker
 
 
-def _paragraph(block: B.Block, lines: list[str], options: Options) -> list[str] | None:
-    """New lines of a paragraph, with what stands before them; None to leave it."""
+def _folded(text: str) -> bool:
+    """Whether a line has several returns at its end, and they alone keep what stands before them from breaking it."""
+    bare = text.rstrip("\r")
+    return len(text) - len(bare) > 1 and (_odd_tail(bare) == 1 or bare.endswith("  "))
+
+
+def _paragraph(block: B.Block, lines: list[str], options: Options, literal: bool = False) -> list[str] | None:
+    """New lines of a paragraph, with what stands before them; None to leave it, as where ``literal`` text needs an escape."""
     texts = [lines[n][o:] for n, o in block.lines]
+    if any(map(_folded, texts)):
+        return None
     prefix = lines[block.lines[0][0]][: block.lines[0][1]]
     texts[-1] = texts[-1].rstrip(" \t\r")
-    cont = _following(prefix, texts[0], options.dialect)
+    cont = prefix if literal else _following(prefix, texts[0], options.dialect)
     stripped = [t.rstrip("\r") for t in texts]
     whole, ends, at = "\n".join(stripped), [], 0
     code = I.code_spans(whole)
@@ -392,6 +451,8 @@ def _paragraph(block: B.Block, lines: list[str], options: Options) -> list[str]
             continue
         last = i == len(stripped) - 1
         body, marker = _marker(t, not last, ends[i], options.dialect)
+        if marker and i == 0 and block.path[-1:] == ("item",) and not block.previous and _CHECKBOX.fullmatch(t):
+            body, marker = t.rstrip(" \t\r"), ""  # a checkbox takes the blanks after it, and the line's end
         if i == 0 and not body.strip() and marker == "<br>" and not last:
             out.append(("<br>", True))
             continue
@@ -402,29 +463,42 @@ def _paragraph(block: B.Block, lines: list[str], options: Options) -> list[str]
     result, before = [], True
     for i, (t, verbatim) in enumerate(out):
         line = t if verbatim else escaped(t, i == 0, reduced, before if i else False)
+        if literal and line != t:
+            return None
         result.append(line if i == 0 or verbatim else cont + line)
         before = bool(t.strip())
     return result
 
 
-def _shape(text: str) -> list[tuple]:
-    """Blocks with their words, whatever their lines: what a rendering would be made of."""
+def _definitions(text: str) -> set[str]:
+    return {b.text for b in B.scan(text.split("\n")) if b.kind == "def"} if "]:" in text else set()
+
+
+def rendered(text: str) -> str:
+    """What a text comes out as, up to white space; a front matter is no part of it."""
     lines = text.split("\n")
-    out = []
     start = front_matter_end(lines)
-    for b in B.scan(lines[start:]):
-        body = [lines[start:][n][o:] for n, o in b.lines]
-        if b.kind == "para":
-            words = " ".join(x.removesuffix("\\") if k < len(body) - 1 else x for k, x in enumerate(body))
-            words = re.sub(r"(?i)<br *\/?>", " ", re.sub(r"\\([!-/:-@\[-`{-~])", r"\1", words)).replace("&#96;", "`")
-            out.append((b.kind, b.path, " ".join(words.split())))
-        else:
-            out.append((b.kind, b.path, "\n".join(x.rstrip() for x in body)))
-    return out
+    return render.html(["" if n < start else x for n, x in enumerate(lines)])
 
 
-def _definitions(text: str) -> set[str]:
-    return {b.text for b in B.scan(text.split("\n")) if b.kind == "def"}
+def _admonition_body(found: list[B.Block], at: int, lines: list[str]) -> B.Block | None:
+    """The indented body of an admonition as a paragraph: one run of lines, all four columns in, below its marker line."""
+    b, marker = found[at], found[at - 1] if at else None
+    if marker is None or b.previous != "para" or marker.kind != "para" or marker.path != b.path or len(marker.lines) != 1:
+        return None
+    n, o = marker.lines[0]
+    if not _ADMONITION_HEAD.match(lines[n][o:]):
+        return None
+    body = list(b.lines)
+    while body and not lines[body[-1][0]][body[-1][1] :].strip():
+        body.pop()
+    out = []
+    for n, o in body:
+        m = re.compile(r" {4}(?=[^ \t\r\n])" if lines[n][:o].strip(" ") or o % 4 else r"(?: {4}|\t)(?=[^ \t\r\n])").match(lines[n], o)
+        if not m or _FENCE_RUN.match(lines[n], m.end()) or lines[n][:o].strip(" \t"):
+            return None
+        out.append((n, m.end()))
+    return B.Block("para", out, b.depth, b.path, b.inside, b.in_quote) if out else None
 
 
 def _pass(text: str, options: Options) -> str:
@@ -434,17 +508,18 @@ def _pass(text: str, options: Options) -> str:
     own, above = _facts(lines)
     defs = [b for b in found if b.kind == "def"]
     out, at = [], 0
-    for b in found:
-        if b.kind != "para" or _frozen(b, lines, own, above, defs):
+    for k, b in enumerate(found):
+        body = _admonition_body(found, k, lines) if b.kind == "indent" and options.dialect == "mkdocs" else None
+        if body is None and (b.kind != "para" or _frozen(b, lines, own, above, defs)):
             continue
+        b = body or b
         first, last = b.lines[0][0], b.lines[-1][0]
-        new = _paragraph(b, lines, options)
+        new = _paragraph(b, lines, options, body is not None)
         if new is None:
             continue
-        tail = lines[last]
-        body = tail[b.lines[-1][1] :]
+        tail = lines[last][b.lines[-1][1] :]
         new[0] = lines[first][: b.lines[0][1]] + new[0]
-        new[-1] += body[len(body.rstrip(" \t\r")) :]
+        new[-1] += tail[len(tail.rstrip(" \t\r")) :]
         if not _definitions("\n".join(new)) <= _definitions("\n".join(lines[first : last + 1])):
             continue
         out += lines[at:first] + new
@@ -453,7 +528,7 @@ def _pass(text: str, options: Options) -> str:
 
 
 def reflow(text: str | None, options: Options = Options()) -> str | None:
-    """The text reflowed: passes until one changes nothing (at most four), and the source if its blocks would change."""
+    """The text reflowed: passes until one changes nothing (at most four), and the source if it would render differently."""
     if text is None:
         return None
     now = text
@@ -464,7 +539,7 @@ def reflow(text: str | None, options: Options = Options()) -> str | None:
         now = new
     else:
         return text
-    return now if now == text or _shape(now) == _shape(text) else text
+    return now if now == text or rendered(now) == rendered(text) else text
 
 
 def explain(text: str | None, options: Options = Options()) -> list[tuple[int, int, str]]:

@@ -122,9 +122,9 @@ def test_random_markdown_settles():
         text = "".join(r.choice(bits) for _ in range(r.randint(1, 14)))
         o = r.choice([Options(), Options("para"), Options("wrap", max_width=24), Options("sentence", "mkdocs", 30)])
         out = kernel.reflow(text, o)
-        assert kernel.reflow(out, o) == out or kernel._shape(kernel.reflow(out, o)) == kernel._shape(text), (text, o)
+        assert kernel.reflow(out, o) == out or kernel.rendered(kernel.reflow(out, o)) == kernel.rendered(text), (text, o)
         kernel.explain(text, o)
-        assert kernel._shape(out) == kernel._shape(text)
+        assert kernel.rendered(out) == kernel.rendered(text)
 
 
 def test_block_kinds():
@@ -135,3 +135,110 @@ def test_block_kinds():
 def test_spans():
     t = "a `b c` [d e](f) <i> http://x.y/z, end"
     assert [t[a:b] for a, b, _ in inline.spans(t)] == ["`b c`", "[d e](f)", "<i>", "http://x.y/z"]
+
+
+def test_time_is_in_proportion_to_the_text():
+    import time
+
+    for word in ("to ", "a ", "longer, words; and more. "):
+        took = []
+        for n in (4000, 16000):
+            text = word * (n // len(word)) + "`c`"
+            for o in (Options("wrap"), Options("sentence", max_width=80)):
+                began = time.process_time()
+                kernel.reflow(text, o)
+                took.append(time.process_time() - began)
+        assert max(took[2:]) < 12 * max(max(took[:2]), 0.02)
+
+
+def test_widths_by_hand():
+    text = "a  b `c  d`\t\te \r f"
+    w = kernel._Widths(text, inline.no_break_spans(text))
+    assert w(0, len(text)) == len("a b `c  d` e f") and w(0, 4) == 3 and w(4, 11) == 7
+    assert w._shown(0, len(text)) == "a b `c  d` e f"
+    assert kernel._Widths("- x", []).fits(0, 3, 3) is False  # an escape would make it longer
+
+
+def brute_wrap(text, width):
+    """The longest line that fits, by trying all cuts."""
+    words, out = text.split(" "), []
+    while words:
+        k = max((k for k in range(1, len(words) + 1) if len(kernel.escaped(" ".join(words[:k]))) <= width), default=1)
+        out.append(" ".join(words[:k]))
+        words = words[k:]
+    return out
+
+
+def test_wrap_equals_trying_all_cuts():
+    r = random.Random(3)
+    for _ in range(400):
+        text = " ".join(r.choice(["a", "be", "sea", "-", "1.", "#", "+", "letters", "extraordinarily", "x."]) for _ in range(r.randint(1, 40)))
+        text = "go " + text
+        width = r.randint(5, 30)
+        cuts = [(i, i + 1) for i, c in enumerate(text) if c == " "]
+        assert kernel._ranked(text, [], cuts, [], width) == brute_wrap(text, width), (text, width)
+
+
+BODY = "    The body's sentence is long enough that it must go onto more than one line."
+
+
+@pytest.mark.parametrize("marker", ["!!! note", '!!! note "Title"', '???+ tip "Open"', "??? tip", '!!! note inline end "T"'])
+def test_admonition_bodies(marker):
+    o = Options("wrap", "mkdocs", 40)
+    source = f"{marker}\n\n{BODY}\n\nAfter.\n"
+    want = f"{marker}\n\n    The body's sentence is long enough that\n    it must go onto more than one line.\n\nAfter.\n"
+    assert kernel.reflow(source, o) == want and kernel.reflow(want, o) == want
+    assert kernel.reflow(source, Options("wrap", "gfm", 40)) == source
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        f"Words.\n\n{BODY}\n",
+        f"!!!\n\n{BODY}\n",
+        f"!!! note\nmore\n\n{BODY}\n",
+        f"!!! note\n\n{BODY}\n\n{BODY}\n",
+        f"!!! note\n\n {BODY}\n",
+        "!!! note\n\n    ```\n    some code that is far too long for a line of this width\n    ```\n",
+        "!!! note\n\n    some words that fill nearly a whole - and then what would be a list item\n",
+    ],
+)
+def test_indented_code_stays(source):
+    assert kernel.reflow(source, Options("wrap", "mkdocs", 36)) in (source, source.replace("!!! note\nmore", "!!! note\n    more"))
+
+
+def test_rare_line_ends_and_checkboxes():
+    for text in ("0 \\\r\r\n:::\n", "words  \r\r\nmore. And more.\n"):
+        assert kernel.reflow(text) == text
+    assert kernel.reflow("a\r\r\nb\n") == "a b\n"
+    assert "<br>" not in kernel.rendered("* [X]  \n0\n") and kernel.rendered(kernel.reflow("* [X]  \n0\n")) == kernel.rendered("* [X]  \n0\n")
+    assert kernel.reflow("* y  \n  0\n") == "* y\\\n  0\n"
+
+
+@pytest.mark.parametrize(
+    ("source", "frozen"),
+    [("- [foo\n\nbar\n", False), ("# x [foo\nbar]: baz. And.\n", True), ("# [a]: b\nprose. More.\n", False), ("# some words [a]: /b\nprose. More.\n", False)],
+)
+def test_definitions_reach_into_a_paragraph(source, frozen):
+    assert any(r.startswith("link-ref") for _, _, r in kernel.explain(source)) == frozen, kernel.explain(source)
+
+
+def test_reasons_that_only_a_broken_scan_gives():
+    lines = ["one", "two", "three"]
+    gap = blocks.Block("para", [(0, 0), (2, 0)])
+    assert kernel._frozen(gap, lines, [False] * 3, [False] * 3, []) == "hidden-line-gap"
+    para, definition = blocks.Block("para", [(0, 0), (1, 0)]), blocks.Block("def", [(1, 0)])
+    assert kernel._frozen(para, lines, [False] * 3, [False] * 3, [definition]) == "duplicate-def-line"
+    assert kernel.explain("| a | b |\n|---|---|\n| 1 | 2 |\n=\nx\n") == [(4, 5, "table-adjacency")]
+
+
+def test_rendering():
+    out = lambda t: kernel.rendered(t)
+    assert out("*a **b** c* `x  y` [l](u \"t\") <i> \\* &amp; &#96;\n") == "<p><em>a <strong>b</strong> c</em> <code>x y</code> <link (u &quot;t&quot;)>l</link> <i> * &amp; `</p>"
+    assert out("a  \nb\\\nc<BR />\nd\n") == "<p>a<br> b<br> c<br> d</p>"
+    assert out("- a\n- b\n") == "<list> <item> <p>a</p> </item> <item> <p>b</p>"
+    assert out("a\nb\n") == out("a b\n") != out("a\n\nb\n")
+    assert out("***a** b*\n") == "<p><em><strong>a</strong> b</em></p>"
+    assert out("- a\n  - b\n") != out("- a\n- b\n") and out("> a\n") != out("a\n") and out("# a\n") != out("a\n")
+    for a, b in (("x *y z*\n", "x \\*y z*\n"), ("1. a\n", "1\\. a\n"), ("a `b` c\n", "a b c\n"), ("[a]: b\n\n[a]\n", "[a]\n")):
+        assert out(a) != out(b)
