@@ -9,14 +9,13 @@ from plainfold.functions import prose as P
 from plainfold.functions import rules as R
 from plainfold.options import ABBREVIATIONS, Options
 from plainfold.plans import api
+from plainfold.sources.tables import table as _table
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def _plain(spark, sf_dir) -> DataFrame:
-    return _table(spark, sf_dir, "documents").where(P.is_plain(F.col("text")))
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with ``plain``, the text of those that column expressions alone can reflow, else null."""
+    d = _table(spark, sf_dir, "documents")
+    return d.withColumn("plain", F.when(P.is_plain(F.col("text")), F.col("text")))
 
 
 def _q(pattern: str) -> str:
@@ -74,59 +73,58 @@ def route_tier(spark, sf_dir):
     return out.groupBy("table_name", "plain").agg(F.count("*").alias("n"))
 
 
-def paragraph_runs(spark, sf_dir):
-    """Runs of lines that are not blank, with 1-based first and last lines: one pass over each row's own lines."""
-    d = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.split(F.regexp_replace("html", "(</[a-z0-9]+>)", "$1\n"), "\n", -1)).alias("at", "line"))
-    w = Window.partitionBy("page_id").orderBy("at")
-    d = d.withColumn("run", F.sum((F.trim("line") == "").cast("long")).over(w)).where(F.trim("line") != "")
-    return d.groupBy("page_id", "run").agg((F.min("at") + 1).cast("long").alias("start_line"), (F.max("at") + 1).cast("long").alias("end_line")).select("page_id", "start_line", "end_line")
+def _runs(lines: DataFrame) -> DataFrame:
+    """Runs of lines (table_name, id, at, line) that are not blank, with 1-based first and last lines."""
+    w = Window.partitionBy("table_name", "id").orderBy("at")
+    runs = lines.withColumn("run", F.sum((F.trim("line") == "").cast("long")).over(w)).where(F.trim("line") != "").groupBy("table_name", "id", "run")
+    return runs.agg((F.min("at") + 1).cast("long").alias("start_line"), (F.max("at") + 1).cast("long").alias("end_line")).drop("run")
 
 
-def paragraph_runs_all(spark, sf_dir):
-    """Runs of lines that are not blank, of documents as they stand and of pages as in paragraph_runs."""
+def paragraph_runs(spark, sf_dir):
+    """Runs of lines that are not blank, of documents as they stand and of pages with a line end after each closing tag."""
     docs = _table(spark, sf_dir, "documents").select(F.lit("documents").alias("table_name"), F.col("doc_id").alias("id"), F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    w = Window.partitionBy("id").orderBy("at")
-    docs = docs.withColumn("run", F.sum((F.trim("line") == "").cast("long")).over(w)).where(F.trim("line") != "")
-    docs = docs.groupBy("table_name", "id", "run").agg((F.min("at") + 1).cast("long").alias("start_line"), (F.max("at") + 1).cast("long").alias("end_line")).drop("run")
-    return docs.unionAll(paragraph_runs(spark, sf_dir).select(F.lit("pages").alias("table_name"), F.col("page_id").alias("id"), "start_line", "end_line"))
+    broken = F.regexp_replace("html", "(</[a-z0-9]+>)", "$1\n")
+    pages = _table(spark, sf_dir, "pages").select(F.lit("pages").alias("table_name"), F.col("page_id").alias("id"), F.posexplode(F.split(broken, "\n", -1)).alias("at", "line"))
+    return _runs(docs.unionAll(pages))
 
 
 def _formatted(options: Options):
-    return lambda spark, sf_dir: _plain(spark, sf_dir).select("doc_id", P.reflowed(F.col("text"), options).alias("formatted"))
-
-
-def sentence_rows(spark, sf_dir):
-    lines = F.split(P.split_sentences(P.joined(F.col("text"))), f"[\n{P.KEPT}]", -1)
-    d = _plain(spark, sf_dir).select("doc_id", F.posexplode(lines).alias("at", "sentence"))
-    return d.where("sentence <> ''").select("doc_id", "sentence")
-
-
-def needs_format(spark, sf_dir):
-    d = _plain(spark, sf_dir).select("lang", (P.reflowed(F.col("text")) != F.col("text")).alias("changes"))
-    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("changes").cast("long")).alias("n_changed"))
-
-
-# The same over every document, Markdown too: its kernel is beyond SQL, so these are held against it row by row in tests.
+    """Every document through the engine's front door. Markdown is beyond SQL, so tests hold this against the kernel."""
+    return lambda spark, sf_dir: api.reflow(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", options).select("doc_id", "formatted")
 
 
-def _all_formatted(options: Options):
-    return lambda spark, sf_dir: api.reflow(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text", options).select("doc_id", "formatted")
+def _by_columns(options: Options):
+    """The column expressions alone, over every document: null where the text isn't plain prose."""
+    return lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", P.reflowed(F.col("plain"), options).alias("formatted"))
 
 
-def sentence_rows_all(spark, sf_dir):
-    """Plain documents as in sentence_rows; of the others the lines of the result, which for Markdown is what stands on a line."""
+def sentence_rows(spark, sf_dir):
+    """Sentences of plain documents; of the others the lines of the result, which for Markdown is what stands on a line."""
     plain = F.split(P.split_sentences(P.joined(F.col("text"))), f"[\n{P.KEPT}]", -1)
     d = api.reflow(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     lines = F.when(P.is_plain(F.col("text")), plain).otherwise(F.split("formatted", "\r?\n", -1))
     return d.select("doc_id", F.explode(lines).alias("sentence")).where("sentence <> ''")
 
 
-def needs_format_all(spark, sf_dir):
+def prose_sentence_rows(spark, sf_dir):
+    """Sentences of plain documents; one null for each other document."""
+    lines = F.split(P.split_sentences(P.joined(F.col("plain"))), f"[\n{P.KEPT}]", -1)
+    d = _documents(spark, sf_dir).select("doc_id", F.explode_outer(lines).alias("sentence"))
+    return d.where("sentence is null or sentence <> ''")
+
+
+def needs_format(spark, sf_dir):
     d = api.needs_format(_table(spark, sf_dir, "documents").select("lang", "text"))
     return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(F.col("needs_format").cast("long")).alias("n_changed"))
 
 
-def exit_code_by_source_all(spark, sf_dir):
+def prose_needs_format(spark, sf_dir):
+    """By language: documents, plain ones, and plain ones that would change."""
+    d = _documents(spark, sf_dir).select("lang", "plain", (P.reflowed(F.col("plain")) != F.col("plain")).alias("changes"))
+    return d.groupBy("lang").agg(F.count("*").alias("n_docs"), F.count("plain").alias("n_plain"), F.coalesce(F.sum(F.col("changes").cast("long")), F.lit(0)).alias("n_changed"))
+
+
+def exit_code_by_source(spark, sf_dir):
     t = F.col("text")
     d = api.needs_format(_table(spark, sf_dir, "documents").select("source", "text")).select("source", t.isNull().alias("usage"), P.has_control(t).alias("refused"), F.col("needs_format").alias("changed"))
     return d.groupBy("source").agg(exit_code(F.col("usage"), F.col("refused"), F.col("changed")).alias("code"))
@@ -223,9 +221,10 @@ def exit_code(usage: Column, refused: Column, changed: Column) -> Column:
     return F.when(F.max(usage), 2).when(F.max(refused), 3).when(F.max(changed), 1).otherwise(0).cast("long")
 
 
-def exit_code_by_source(spark, sf_dir):
+def prose_exit_code_by_source(spark, sf_dir):
+    """As if only plain documents could change; controls and missing texts count in all."""
     t = F.col("text")
-    d = _table(spark, sf_dir, "documents").select("source", t.isNull().alias("usage"), P.has_control(t).alias("refused"), (P.is_plain(t) & (P.reflowed(t) != t)).alias("changed"))
+    d = _documents(spark, sf_dir).select("source", t.isNull().alias("usage"), P.has_control(t).alias("refused"), F.coalesce(P.reflowed(F.col("plain")) != F.col("plain"), F.lit(False)).alias("changed"))
     return d.groupBy("source").agg(exit_code(F.col("usage"), F.col("refused"), F.col("changed")).alias("code"))
 
 
@@ -233,6 +232,32 @@ def canonical_width(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", P.canonical_width(F.col("text")).alias("width"))
 
 
+#: Frozen paragraphs: what comes before and after the words, the lines that are frozen (0: none), and the reason.
+_FROZEN = (
+    ("Words with `x[0]: y` in", "", 1, 2, "link-ref-def-shape"),
+    ("[a]: /u", "", 2, 2, "link-ref-def-neighbor"),
+    ("See [x](<a b", "", 1, 2, "possible-link-ref-def"),
+    ("Here <!DOCTYPE is", "", 1, 2, "raw-html-decl-opener"),
+    ("<Widget a", ">", 1, 2, "unterminated-tag"),
+    ("| a | b |\n|---|---|\n=", "", 3, 4, "table-adjacency"),
+    ("> * > More", "", 1, 2, "deep-nesting"),
+    ("Here \x01 is", "", 1, 2, "control-bytes"),
+    ("More\n\u2003", "", 1, 3, "degenerate-blank"),
+    ("$$", "\n$$", 1, 3, "dialect-block"),
+    ("import A from b", "", 0, 0, ""),
+    ("Only words", "", 0, 0, ""),
+)
+
+
+def explain_reasons(spark, sf_dir):
+    """The words of every conversation turn in each surrounding that freezes a paragraph, and in two that don't."""
+    turns = _table(spark, sf_dir, "conversations")
+    words = F.concat(F.lit("word "), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z]+", " ")))
+    cases = F.array(*[F.struct(F.lit(i).cast("long").alias("case_no"), F.concat(F.lit(a + "\n"), words, F.lit(b + "\n")).alias("text")) for i, (a, b, *_) in enumerate(_FROZEN)])
+    rows = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.explode(cases).alias("c")).select("conv_id", "turn", "c.*")
+    return api.explain(rows).select("conv_id", "turn", "case_no", "start_line", "end_line", "reason", "detail", "remediation")
+
+
 def reflow_documents(spark, sf_dir):
     """Every document, plain or not, through the engine's front door."""
     return api.reflow(_table(spark, sf_dir, "documents").select("doc_id", "text"), "text").select("doc_id", "formatted")
@@ -246,26 +271,19 @@ def explain_pages(spark, sf_dir):
     return api.explain(_table(spark, sf_dir, "pages").select("page_id", "html"), "html").select("page_id", "start_line", "end_line", "reason")
 
 
+MODES = {"para_mode": Options("para"), "sentence_mode": Options(), "wrap80": Options("wrap"), "wrap40": Options("wrap", max_width=40), "sentence_mw80": Options("sentence", max_width=80)}
+
 QUERIES = {
     "doc_lines": doc_lines,
     "route_tier": route_tier,
     "paragraph_runs": paragraph_runs,
-    "paragraph_runs_all": paragraph_runs_all,
-    "para_mode": _formatted(Options("para")),
     "sentence_rows": sentence_rows,
-    "sentence_mode": _formatted(Options()),
-    "wrap80": _formatted(Options("wrap")),
-    "wrap40": _formatted(Options("wrap", max_width=40)),
-    "sentence_mw80": _formatted(Options("sentence", max_width=80)),
+    "prose_sentence_rows": prose_sentence_rows,
+    **{name: _formatted(o) for name, o in MODES.items()},
+    **{f"prose_{name}": _by_columns(o) for name, o in MODES.items()},
     "needs_format": needs_format,
-    "para_mode_all": _all_formatted(Options("para")),
-    "sentence_rows_all": sentence_rows_all,
-    "sentence_mode_all": _all_formatted(Options()),
-    "wrap80_all": _all_formatted(Options("wrap")),
-    "wrap40_all": _all_formatted(Options("wrap", max_width=40)),
-    "sentence_mw80_all": _all_formatted(Options("sentence", max_width=80)),
-    "needs_format_all": needs_format_all,
-    "exit_code_by_source_all": exit_code_by_source_all,
+    "prose_needs_format": prose_needs_format,
+    "prose_exit_code_by_source": prose_exit_code_by_source,
     "abbrev_suppressed": abbrev_suppressed,
     "clause_breaks": clause_breaks,
     "regex_nobreak_spans": regex_nobreak_spans,
@@ -273,6 +291,7 @@ QUERIES = {
     "front_matter_end": front_matter_end,
     "dialect_rule_hits": dialect_rule_hits,
     "explain_events": explain_events,
+    "explain_reasons": explain_reasons,
     "text_guards": text_guards,
     "render_normalize": render_normalize,
     "input_refusal": input_refusal,
@@ -293,20 +312,17 @@ _CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f]"
 ORACLES = {
     "doc_lines": "select doc_id, n as line_no, length(l)::bigint as width from (select doc_id, unnest(string_split(text, chr(10))) as l, generate_subscripts(string_split(text, chr(10)), 1) as n from documents)",
     "route_tier": " union all ".join(f"select '{t}' as table_name, {_plain_sql(c)} as plain, count(*) as n from {t} group by 2" for t, c in (("documents", "text"), ("conversations", "text"), ("benchmark", "text"), ("pages", "html"))),
-    "paragraph_runs": """with l as (select page_id, unnest(s) as line, generate_subscripts(s, 1) as pos from (select page_id, string_split(regexp_replace(html, '(</[a-z0-9]+>)', '\\1' || chr(10), 'g'), chr(10)) as s from pages)),
-      r as (select *, pos - row_number() over (partition by page_id order by pos) as run from l where trim(line) <> '')
-      select page_id, min(pos) as start_line, max(pos) as end_line from r group by page_id, run""",
-    "paragraph_runs_all": """with l as (select 'documents' as table_name, doc_id as id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
+    "paragraph_runs": """with l as (select 'documents' as table_name, doc_id as id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
       union all select 'pages', page_id, unnest(s), generate_subscripts(s, 1) from (select page_id, string_split(regexp_replace(html, '(</[a-z0-9]+>)', '\\1' || chr(10), 'g'), chr(10)) as s from pages)),
       r as (select *, pos - row_number() over (partition by table_name, id order by pos) as run from l where trim(line) <> '')
       select table_name, id, min(pos) as start_line, max(pos) as end_line from r group by table_name, id, run""",
-    "para_mode": f"with {_JOINED} select doc_id, replace(line, chr(1), chr(10)) as formatted from joined",
-    "sentence_rows": f"with {_JOINED}, {_SENTENCES} select doc_id, sentence from sentences where sentence <> ''",
-    "sentence_mode": f"with {_SENTENCE_MODE} select doc_id, formatted from done",
-    "wrap80": f"with recursive {_JOINED}, bodies as (select doc_id, para_no, para as body from paras), {_stepped('bodies', 'doc_id, para_no', 80, False)} {_rebuilt('select * from filled')}",
-    "wrap40": f"with recursive {_JOINED}, bodies as (select doc_id, para_no, para as body from paras), {_stepped('bodies', 'doc_id, para_no', 40, False)} {_rebuilt('select * from filled')}",
-    "sentence_mw80": f"with recursive {_JOINED}, {_SENTENCES}, bodies as (select doc_id, para_no, nth, sentence as body from sentences), {_stepped('bodies', 'doc_id, para_no, nth', 80, True)} {_rebuilt('select doc_id, para_no, string_agg(body, chr(10) order by nth) as body from filled group by all')}",
-    "needs_format": f"with {_SENTENCE_MODE} select lang, count(*) as n_docs, sum((formatted <> text)::int)::bigint as n_changed from joined join done using (doc_id) group by lang",
+    "prose_para_mode": f"with {_JOINED} select d.doc_id, replace(line, chr(1), chr(10)) as formatted from documents d left join joined using (doc_id)",
+    "prose_sentence_rows": f"with {_JOINED}, {_SENTENCES} select doc_id, sentence from sentences where sentence <> '' union all select doc_id, null from documents where not {_plain_sql('text')}",
+    "prose_sentence_mode": f"with {_SENTENCE_MODE} select d.doc_id, formatted from documents d left join done using (doc_id)",
+    "prose_wrap80": f"with recursive {_JOINED}, bodies as (select doc_id, para_no, para as body from paras), {_stepped('bodies', 'doc_id, para_no', 80, False)}, done as ({_rebuilt('select * from filled')}) select d.doc_id, formatted from documents d left join done using (doc_id)",
+    "prose_wrap40": f"with recursive {_JOINED}, bodies as (select doc_id, para_no, para as body from paras), {_stepped('bodies', 'doc_id, para_no', 40, False)}, done as ({_rebuilt('select * from filled')}) select d.doc_id, formatted from documents d left join done using (doc_id)",
+    "prose_sentence_mw80": f"with recursive {_JOINED}, {_SENTENCES}, bodies as (select doc_id, para_no, nth, sentence as body from sentences), {_stepped('bodies', 'doc_id, para_no, nth', 80, True)}, done as ({_rebuilt('select doc_id, para_no, string_agg(body, chr(10) order by nth) as body from filled group by all')}) select d.doc_id, formatted from documents d left join done using (doc_id)",
+    "prose_needs_format": f"with {_SENTENCE_MODE} select d.lang, count(*) as n_docs, count(done.doc_id) as n_plain, coalesce(sum((formatted <> d.text)::int), 0)::bigint as n_changed from documents d left join done using (doc_id) group by d.lang",
     "abbrev_suppressed": f"with t as (select unnest(regexp_split_to_array(lower(text), '[ \\n]+')) as token from documents) select a.token, count(t.token) as n from (select unnest([{_ABBR}]) as token) a left join t using (token) group by a.token",
     "clause_breaks": f"select doc_id, {_COUNT(r'[,;][ \t\r]+')} - {_COUNT(r'&#?[A-Za-z0-9]+;[ \t\r]+')} as n_breaks from documents",
     "regex_nobreak_spans": " union all ".join(f"select '{t}' as table_name, {k} as id, " + ", ".join(f"{_COUNT(p, c)} as {n}" for n, p in _SPANS.items()) + f" from {t}" for t, k, c in (("documents", "doc_id", "text"), ("events", "event_id", "props"))),
@@ -317,10 +333,12 @@ ORACLES = {
     "dialect_rule_hits": "with r(rule, pattern, kind) as (values " + ", ".join(f"({_q(n)}, {_q(p)}, {_q(k)})" for n, p, k, _ in R.DIALECT_RULES) + ") select rule, kind, count(*) as n from events join r on regexp_matches(trim(props), pattern) group by all",
     "explain_events": f"""with w(reason, detail, remediation) as (values {_CODES}), e as (select event_id, case when regexp_matches(trim(props), {_q(R.DIALECT_RULES[4][1])}) then 'dialect-block' when regexp_matches(props, {_q(_CONTROL)}) then 'control-bytes' end as reason from events)
       select event_id, 1::bigint as start_line, 1::bigint as end_line, reason, detail, remediation from e join w using (reason)""",
+    "explain_reasons": f"""with w(reason, detail, remediation) as (values {_CODES}), f(case_no, start_line, end_line, reason) as (values {", ".join(f"({i}::bigint, {a}::bigint, {b}::bigint, {_q(r)})" for i, (_, _, a, b, r) in enumerate(_FROZEN) if r)})
+      select conv_id, turn::bigint as turn, case_no, start_line, end_line, reason, detail, remediation from conversations cross join f join w using (reason)""",
     "text_guards": " union all ".join(f"select '{t}' as table_name, count(*) as n, sum(regexp_matches({c}, {_q(_CONTROL)})::int)::bigint as n_control, count({c}) as n_valid from {t}" for t, c in (("documents", "text"), ("conversations", "text"), ("pages", "html"))),
     "render_normalize": "select page_id, regexp_replace(replace(regexp_replace(regexp_replace(html, '[\\t\\n\\f\\r ]+', ' ', 'g'), '(?i)<br *\\/?>', '<br>', 'g'), ' <br>', '<br>'), '^ | $', '', 'g') as html from pages",
     "input_refusal": f"select page_id, case when {_EXT} in ({', '.join(map(_q, R.MARKDOWN))}) then 'markdown' when {_EXT} in ({', '.join(map(_q, R.REFUSED))}) then 'refused' else 'unknown' end as verdict from pages",
-    "exit_code_by_source": f"""with {_SENTENCE_MODE}, c as (select d.source, d.text is null as usage, regexp_matches(d.text, {_q(_CONTROL)}) as refused, coalesce(done.formatted <> d.text, false) as changed from documents d left join done using (doc_id))
+    "prose_exit_code_by_source": f"""with {_SENTENCE_MODE}, c as (select d.source, d.text is null as usage, regexp_matches(d.text, {_q(_CONTROL)}) as refused, coalesce(done.formatted <> d.text, false) as changed from documents d left join done using (doc_id))
       select source, case when bool_or(usage) then 2 when bool_or(refused) then 3 when bool_or(changed) then 1 else 0 end::bigint as code from c group by source""",
     "canonical_width": "select doc_id, length(regexp_replace(text, '[ \\t\\r]+', ' ', 'g'))::bigint as width from documents",
 }

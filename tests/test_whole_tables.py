@@ -5,10 +5,9 @@ import collections
 import pytest
 
 import __spark_entry__ as driver
-from plainfold.functions import prose
 from plainfold.markdown import kernel
 from plainfold.options import Options
-from plainfold.plans import queries
+from plainfold.plans import api, queries
 
 TEXTS = ["One. Two.", "- Item. More.\n", "# Head\n\nOne. Two.\n", "Spaced  words. And more.\n", "> Quote. More, and more words, " + "and more " * 12 + "still.\n", "", "Fine.", None, "a\x01b. C.", "| a | b |\n|-|-|\n| 1. A | 2 |\n"]
 
@@ -20,16 +19,23 @@ def small(spark, tmp_path):
     return rows, str(tmp_path)
 
 
-MODES = {"para_mode": Options("para"), "sentence_mode": Options(), "wrap80": Options("wrap"), "wrap40": Options("wrap", max_width=40), "sentence_mw80": Options("sentence", max_width=80)}
-
-
-@pytest.mark.parametrize("name", MODES)
+@pytest.mark.parametrize("name", queries.MODES)
 def test_modes_over_all_documents(spark, small, name):
     rows, sf = small
-    got = {r.doc_id: r.formatted for r in driver.queries()[name + "_all"](spark, sf).collect()}
-    assert got == {i: None if t is None else kernel.reflow(t, MODES[name]) for i, t, *_ in rows}
-    plain = {r.doc_id: r.formatted for r in queries.QUERIES[name](spark, sf).collect()}
-    assert plain.items() < got.items()
+    got = {r.doc_id: r.formatted for r in driver.queries()[name](spark, sf).collect()}
+    assert got == {i: None if t is None else kernel.reflow(t, queries.MODES[name]) for i, t, *_ in rows}
+    plain = {r.doc_id: r.formatted for r in queries.QUERIES["prose_" + name](spark, sf).collect()}
+    assert plain.keys() == got.keys() and {k: v for k, v in plain.items() if v is not None}.items() < got.items()
+
+
+@pytest.mark.parametrize(("table", "column"), [("documents", "text"), ("pages", "html")])
+def test_reflow_keeps_what_is_rendered(spark, sf_dir, table, column):
+    """Of whole tables: the same rendering, the same words, and nothing left to do."""
+    rows = api.reflow(spark.read.parquet(f"{sf_dir}/{table}.parquet").select(column), column).collect()
+    assert len(rows) >= 50
+    for before, after in rows:
+        assert kernel.rendered(after) == kernel.rendered(before) and kernel.reflow(after) == after
+        assert after.replace("\\", "").split() == before.replace("\\", "").split()
 
 
 def test_counts_over_all_documents(spark, small):
@@ -38,19 +44,19 @@ def test_counts_over_all_documents(spark, small):
     for _, t, lang, _ in rows:
         want[lang][0] += 1
         want[lang][1] += t is not None and kernel.reflow(t, Options()) != t
-    assert {r.lang: [r.n_docs, r.n_changed] for r in queries.needs_format_all(spark, sf).collect()} == want
-    assert {r.source: r.code for r in queries.exit_code_by_source_all(spark, sf).collect()} == {"s0": 1, "s1": 2, "s2": 3}
+    assert {r.lang: [r.n_docs, r.n_changed] for r in queries.needs_format(spark, sf).collect()} == want
+    assert {r.source: r.code for r in queries.exit_code_by_source(spark, sf).collect()} == {"s0": 1, "s1": 2, "s2": 3}
 
 
 def test_sentences_of_all_documents(spark, small):
     rows, sf = small
     lines = collections.Counter((i, x) for i, t, *_ in rows if t for x in kernel.reflow(t, Options()).split("\n") if x)
-    assert collections.Counter(map(tuple, queries.sentence_rows_all(spark, sf).collect())) == lines
+    assert collections.Counter(map(tuple, queries.sentence_rows(spark, sf).collect())) == lines
 
 
 def test_paragraph_runs_of_documents(spark, tmp_path):
     docs = [(1, "a\nb\n\n \nc"), (2, None), (3, ""), (4, "\n\nd\n")]
     spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, "<p>x</p>\n<b>y")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
-    got = sorted(map(tuple, queries.paragraph_runs_all(spark, str(tmp_path)).collect()))
+    got = sorted(map(tuple, queries.paragraph_runs(spark, str(tmp_path)).collect()))
     assert got == [("documents", 1, 1, 2), ("documents", 1, 5, 5), ("documents", 4, 3, 3), ("pages", 1, 1, 1), ("pages", 1, 3, 3)]
