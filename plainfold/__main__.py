@@ -9,11 +9,15 @@ import argparse
 import os
 import sys
 
+import pyspark
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from plainfold import __version__
+from plainfold.markdown import kernel
 from plainfold.operators import sinks
-from plainfold.options import merged
+from plainfold.functions.rules import REASONS
+from plainfold.options import Options, merged
 from plainfold.plans import api
 from plainfold.sources import files
 
@@ -25,6 +29,7 @@ def _arguments() -> argparse.ArgumentParser:
     p.add_argument("--dialect")
     p.add_argument("--max-width", type=int)
     p.add_argument("--config")
+    p.add_argument("--version", action="version", version=f"plainfold {__version__} pyspark {pyspark.__version__} python {sys.version.split()[0]}")
     for flag in ("check", "diff", "stdout", "force", "no-gitignore", "explain"):
         p.add_argument(f"--{flag}", action="store_true")
     return p
@@ -34,28 +39,48 @@ def _say(text: str) -> None:
     print(text, file=sys.stderr)
 
 
+def _skipped(path: str, start: int, end: int, reason: str) -> str:
+    detail, remediation = REASONS[reason]
+    return f"{path}:{start}{f'-{end}' if end != start else ''}: skipped: {detail} [{reason}]\n  {remediation}"
+
+
+def _piped(a: argparse.Namespace, options: Options) -> int:
+    """Standard input to standard output, or to a report. There is no path to exclude, and no Spark."""
+    raw = sys.stdin.buffer.read()
+    why = files.refused_text(raw) if not a.force or b"\0" not in raw else None
+    if why:
+        _say(f"<stdin>: refused: {why}")
+        return 3
+    try:
+        text = raw.decode()
+    except UnicodeDecodeError:
+        _say("<stdin>: refused: not UTF-8")
+        return 3
+    new = api.reflow_text(text, options)
+    if a.explain:
+        for start, end, reason in kernel.explain(text, options):
+            _say(_skipped("<stdin>", start, end, reason))
+    if a.check or a.diff:
+        if new != text:
+            print(api.diff_of("-", text, new) if a.diff else "would reformat -\n", end="")
+        return int(new != text)
+    sys.stdout.buffer.write(new.encode())
+    return 0
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     a = _arguments().parse_args(argv)
     flags = {k: v for k, v in (("mode", a.mode), ("dialect", a.dialect), ("max_width", a.max_width)) if v is not None}
     try:
         merged(flags, {})
         if a.paths in ([], ["-"]):
-            options, _ = files.options_for(os.path.join(os.getcwd(), "-"), flags, files.repo_root(os.getcwd()), a.config)
-            raw = sys.stdin.buffer.read()
-            try:
-                text = raw.decode()
-            except UnicodeDecodeError:
-                _say("standard input: not UTF-8")
-                return 3
-            new = api.reflow_text(text, options)
-            if a.check or a.diff:
-                return int(new != text)
-            sys.stdout.buffer.write(new.encode())
-            return 0
-        root = files.repo_root(a.paths[0]) or (os.path.abspath(a.paths[0]) if os.path.isdir(a.paths[0]) else os.path.dirname(os.path.abspath(a.paths[0])))
+            return _piped(a, files.options_for(os.path.join(os.getcwd(), "-"), flags, files.boundary_of(files.repo_root(os.getcwd())), a.config)[0])
         refused, targets, explicit = False, [], set()
         for path in a.paths:
-            _, patterns = files.options_for(os.path.join(path, "-") if os.path.isdir(path) else path, flags, root, a.config)
+            whole = os.path.abspath(path)
+            repository = files.repo_root(path)
+            root = repository or (whole if os.path.isdir(path) else os.path.dirname(whole))
+            _, patterns = files.options_for(os.path.join(path, "-") if os.path.isdir(path) else path, flags, files.boundary_of(repository), a.config)
             excluder = files.Excluder(root, patterns, not a.no_gitignore)
             if os.path.isdir(path) and not os.path.islink(path):
                 targets += files.walk(path, excluder)
@@ -75,7 +100,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             return 2
         by_options: dict = {}
         for t in targets:
-            by_options.setdefault(files.options_for(t, flags, root, a.config)[0], []).append(t)
+            by_options.setdefault(files.options_for(t, flags, files.boundary_of(files.repo_root(t)), a.config)[0], []).append(t)
     except (ValueError, OSError) as e:
         _say(str(e))
         return 2
@@ -91,13 +116,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         df = api.reflow(df.where("refusal is null").withColumn("text", F.col("content").cast("string")), "text", options)
         if a.explain:
             for r in api.explain(df.select("path", "text"), "text", options).orderBy("path", "start_line").collect():
-                lines = f"{r.start_line}" + (f"-{r.end_line}" if r.end_line != r.start_line else "")
-                _say(f"{r.path}:{lines}: skipped: {r.detail} [{r.reason}]\n  {r.remediation}")
+                _say(_skipped(r.path, r.start_line, r.end_line, r.reason))
         if a.check or a.diff:
             report = api.unified_diff(df).where("diff <> ''").orderBy("path").select("path", "diff").collect()
             changed |= bool(report)
             for r in report:
-                print(f"would reformat {r.path}" if a.check else r.diff, end="\n" if a.check else "")
+                print(r.diff if a.diff else f"would reformat {r.path}\n", end="")
         elif a.stdout:
             for r in df.select("formatted").collect():
                 sys.stdout.buffer.write(r.formatted.encode())

@@ -195,15 +195,21 @@ def load_config(path: str) -> dict:
     return got
 
 
+def boundary_of(root: str | None) -> str | None:
+    """How far up a configuration may lie: the repository, else the user's home; None, anywhere, without either."""
+    home = os.path.expanduser("~")
+    return root or (home if home != "~" else None)
+
+
 def discover(folder: str, boundary: str | None) -> str | None:
-    """The nearest configuration upwards, no further than the boundary."""
+    """The nearest configuration upwards, no further than the boundary (which may not lie above the folder at all)."""
     at = os.path.abspath(folder)
     while True:
         for name in CONFIG_NAMES:
             if os.path.isfile(os.path.join(at, name)):
                 return os.path.join(at, name)
         up = os.path.dirname(at)
-        if up == at or boundary is None or at == os.path.abspath(boundary):
+        if up == at or boundary is not None and at == os.path.abspath(boundary):
             return None
         at = up
 
@@ -211,13 +217,19 @@ def discover(folder: str, boundary: str | None) -> str | None:
 def options_for(path: str, flags: dict, boundary: str | None, config: str | None = None) -> tuple[Options, list[str]]:
     """The options of one file, and the patterns that its configuration excludes."""
     found = config or discover(os.path.dirname(os.path.abspath(path)), boundary)
-    got = _cached_config(found) if found else {}
+    got = _cached_config(found, os.stat(found).st_mtime_ns) if found else {}
+    if isinstance(got, ConfigError):
+        raise got
     return merged(flags, {k.replace("-", "_"): v for k, v in got.items() if k != "exclude"}), got.get("exclude", [])
 
 
 @cache
-def _cached_config(path: str) -> dict:
-    return load_config(path)
+def _cached_config(path: str, changed: int) -> dict | ConfigError:
+    """Read once as long as the file stays as it is; errors too."""
+    try:
+        return load_config(path)
+    except ConfigError as e:
+        return e
 
 
 # --- contents ----------------------------------------------------------------------------------------------------
@@ -239,11 +251,22 @@ def refusal(path: Column, content: Column) -> Column:
     valid = cuts[0] | ((F.octet_length(content) > HEAD) & (cuts[1] | cuts[2] | cuts[3]))
     return (
         F.when(~ext.isin(*MARKDOWN) & ext.isin(*REFUSED), F.concat(F.lit("not Markdown: ."), ext))
-        .when(F.instr(F.hex(F.substring(content, 1, HEAD)), "00") % 2 == 1, "binary: it holds a NUL")
+        .when(F.instr(F.substring(content, 1, HEAD).cast("string"), "\0") > 0, "binary: it holds a NUL")
         .when(~valid, "not UTF-8")
     )
 
 
+def refused_text(content: bytes) -> str | None:
+    """As refusal, for contents without a path."""
+    if b"\0" in content[:HEAD]:
+        return "binary: it holds a NUL"
+    try:
+        content.decode()
+    except UnicodeDecodeError:
+        return "not UTF-8"
+    return None
+
+
 def read(spark: SparkSession, paths: list[str], explicit: frozenset[str] = frozenset()) -> DataFrame:
     """(path, explicit, content) of files, read by the tasks."""
 

@@ -1,3 +1,4 @@
+import io
 import os
 import subprocess
 
@@ -115,9 +116,58 @@ def test_config(tree):
 
 
 def test_refusal(spark):
-    rows = [("a.md", b"fine"), ("b.PNG", b"x"), ("c.md", b"a\0b"), ("d.md", b"\xff\xfe"), ("e.zzz", b"ok"), ("f.md", b"a" * 8191 + "é".encode()), ("g.md", b"\x10\x01 x")]
+    rows = [("a.md", b"fine"), ("b.PNG", b"x"), ("c.md", b"a\0b"), ("d.md", b"\xff\xfe"), ("e.zzz", b"ok"), ("f.md", b"a" * 8191 + "é".encode()), ("g.md", b"\x10\x01 x"), ("h.md", b"p\n\0 x"), ("i.md", b"word \nmore\0"), ("j.md", b"@\n0 `")]
     got = {r.path: r.why for r in spark.createDataFrame(rows, "path string, content binary").select("path", files.refusal(F.col("path"), F.col("content")).alias("why")).collect()}
-    assert {k for k, v in got.items() if v} == {"b.PNG", "c.md", "d.md"}
+    assert {k for k, v in got.items() if v} == {"b.PNG", "c.md", "d.md", "h.md", "i.md"}
+
+
+def test_explain_keeps_the_table_s_columns(spark):
+    df = spark.createDataFrame([("[a]: b\nnext\n", "x", "y", 7)], "text string, `a.b` string, _skip string, reason int")
+    r = api.explain(df).collect()[0]
+    assert r["a.b"] == "x" and r["_skip"] == "y" and r["reason"] == "link-ref-def-neighbor" and r.start_line == 2
+    assert api.reflow(df.withColumnRenamed("text", "t.t"), "t.t").collect()[0]["formatted"] == "[a]: b\nnext\n"
+
+
+class _Pipe:
+    def __init__(self, raw):
+        self.buffer = io.BytesIO(raw)
+
+
+def test_standard_input(tmp_path, monkeypatch, capfdbinary):
+    monkeypatch.chdir(tmp_path)
+
+    def run(raw, *flags):
+        monkeypatch.setattr("sys.stdin", _Pipe(raw))
+        code = cli.main([*flags, "-"])
+        out, err = capfdbinary.readouterr()
+        return code, out.decode(), err.decode()
+
+    assert run(b"One. Two.\n") == (0, "One.\nTwo.\n", "")
+    assert run(b"One. Two.\n", "--check") == (1, "would reformat -\n", "")
+    code, out, _ = run(b"One. Two.\n", "--diff")
+    assert code == 1 and out.startswith("--- -\n+++ -\n") and "+Two." in out
+    assert run(b"Fine.\n", "--check", "--diff") == (0, "", "")
+    assert run(b"a\0b")[0] == 3 and run(b"\xff")[0] == 3 and run(b"a\0b\n", "--force")[0] == 0
+    code, out, err = run(b"[a]: b\nnext\n", "--explain")
+    assert code == 0 and "<stdin>:2: skipped: " in err and "[link-ref-def-neighbor]" in err
+
+
+def test_version(capsys):
+    with pytest.raises(SystemExit) as e:
+        cli.main(["--version"])
+    assert e.value.code == 0 and capsys.readouterr().out.startswith("plainfold ")
+
+
+def test_configuration_stops_at_home(tmp_path, monkeypatch):
+    home = tmp_path / "home"
+    (home / "a" / "b").mkdir(parents=True)
+    (tmp_path / files.CONFIG_NAMES[0]).write_text("mode: para\n")
+    monkeypatch.setenv("HOME", str(home))
+    found = lambda: files.discover(str(home / "a" / "b"), files.boundary_of(None))
+    assert found() is None
+    (home / files.CONFIG_NAMES[0]).write_text("mode: wrap\n")
+    assert found() == str(home / files.CONFIG_NAMES[0])
+    assert files.boundary_of("/x") == "/x"
 
 
 def test_command_line(spark, tree, capsys):
