@@ -19,9 +19,13 @@ _BASE_INV = pow(_BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that every executor can reach: ``spark.checkpoint.dir``, or a folder of our own where it is unset."""
+    """Folder that every executor can reach: ``spark.checkpoint.dir``. Where it is unset, one of our own, but only if
+    Spark runs within this process; on a cluster that would be a different folder on each machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="plainfold-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -2,18 +2,20 @@
 
 Bigrams are interpolated with words, and these with counts that both classes share. The discounts are absolute: what a
 class has seen in no more ways than the discount falls back, and what discounting takes from the words of both classes
-makes up the shared counts, so that rare expressions speak for neither class. Each language has models of its own, else
-a language that is commoner among toxic documents would itself be evidence. All orders use continuation
+makes up the shared counts, so that rare expressions speak for neither class. The larger class has a larger discount, in
+proportion to its counts: a word must then be as frequent in either class to speak for it. Each language has models of
+its own, else a language that is commoner among toxic documents would itself be evidence; a document whose language lacks
+labelled documents of either class is scored by models of all languages together. All orders use continuation
 counts (in how many ways something is preceded), which copies of a passage don't raise. A document's
 score is the difference of its two log-likelihoods over its length, (log P(toxic) - log P(ordinary)) / (words + PRIOR_WORDS);
 at or above the threshold it is toxic. The threshold is the one of best F1 on labelled documents held out from the counts.
 
-Counts cover every labelled document, up to ``max_docs`` a class (as many of the commoner class as of the rarer, chosen
-by a hash of doc_id). This bounds the model, which every task holds; scoring covers all documents and whole texts.
+Counts cover every labelled document, up to ``max_docs`` a class; a class that has more is sampled by a hash of doc_id.
+This bounds the model, which every task holds; scoring covers all documents and whole texts.
 
-Defined results: a null language is one of its own; in a language that lacks labels of either class every score is 0. A null or empty text, and one without words, scores 0 and is not toxic. A document labelled twice is
-toxic if any label says so; null labels are left out. Without labels of both classes nothing is toxic. Repeated rows
-score alike.
+Defined results: a null language is one of its own. A null or empty text, and one without words, scores 0 and is not
+toxic. A document labelled twice is toxic if any label says so; null labels are left out. Without labels of both classes
+nothing is toxic, nor where no toxic document is held out (the threshold is infinite then). Repeated rows score alike.
 """
 
 from __future__ import annotations
@@ -26,9 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
-MAX_DOCS, HELD_OUT, DISCOUNT, PAIR_DISCOUNT, PRIOR_WORDS = 20_000, 5, 8, 16, 100
+MAX_DOCS, HELD_OUT, DISCOUNT, PAIR_DISCOUNT, PRIOR_WORDS = 20_000, 5, 4, 8, 100
+POOLED = np.uint64(0x5DEECE66D1234567)  # stands for all languages together
 
 
 def _languages(col: pa.Array) -> np.ndarray:
@@ -36,31 +41,31 @@ def _languages(col: pa.Array) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(x) for x in d.dictionary.to_pylist()], np.uint64)[np.asarray(d.indices)]
 
 
-def _tokens(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """32-bit hashes of words with their language, the hash before each (0 at a start), and rows."""
+def _tokens(data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of words with their language, of the word before each (at a start, one for the start), rows, and which are first."""
     words, row = C.letter_words(data, offsets)
     if not len(words):
         z = np.zeros(0, np.uint64)
-        return z, z, row
+        return z, z, row, np.zeros(0, bool)
     codes, distinct = C.coded_words(words)
     w = C.mix(C.word_hashes(distinct)[codes] ^ lang[row]) >> np.uint64(32)
-    before = np.zeros_like(w)
+    first = np.diff(row, prepend=-1) != 0
+    before = np.empty_like(w)
     before[1:] = w[:-1]
-    before[np.flatnonzero(np.diff(row, prepend=-1))] = 0
-    return w, before, row
+    before[first] = (C.mix(lang) >> np.uint64(32))[row[first]]
+    return w, before, row, first
 
 
-def labelled_ids(labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Sorted ids, whether toxic, and whether held out, of the labelled documents that are used, at most 2 max_docs or so; and how
-    many ordinary ones one of these stands for, against a toxic one."""
-    own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
+def labelled(labels: DataFrame, max_docs: int = MAX_DOCS) -> tuple[DataFrame, float]:
+    """(doc_id, toxic, held) of the labelled documents that are used, about ``max_docs`` a class at most; and how many
+    ordinary ones one of these stands for, against a toxic one."""
+    own = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
     sizes = {r["toxic"]: r["count"] for r in own.groupBy("toxic").count().collect()}
-    least = min(sizes.get(0, 0), sizes.get(1, 0), max_docs)
+    share = {c: min(1.0, max_docs / n) for c, n in sizes.items()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    share = F.when(F.col("toxic") == 1, F.lit(least / max(sizes.get(1, 0), 1))).otherwise(F.lit(least / max(sizes.get(0, 0), 1)))
-    got = own.where("toxic in (0, 1)").where(place < share * (1 << 20)).select("doc_id", "toxic").toPandas().sort_values("doc_id")
-    ids = got["doc_id"].to_numpy(np.int64)
-    return ids, got["toxic"].to_numpy(bool), C.mix(ids.view(np.uint64)) % np.uint64(HELD_OUT) == 0, max(sizes.get(0, 0), 1) / max(sizes.get(1, 0), 1)
+    used = own.where(place < F.when(F.col("toxic") == 1, F.lit(share.get(1, 1.0))).otherwise(F.lit(share.get(0, 1.0))) * (1 << 20))
+    held = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(HELD_OUT)) == 0
+    return used.select("doc_id", (F.col("toxic") == 1).alias("toxic"), held.alias("held")), share.get(1, 1.0) / share.get(0, 1.0)
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -75,25 +80,19 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def _counter(ids, toxic, held):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            at, found = _find(ids, np.asarray(whole.column(0)).astype(np.int64))
-            used = found & ~held[at] if len(ids) else found
-            whole = whole.filter(pa.array(used))
-            for batch in C.slices([whole]):
-                data, offsets, _ = C.text_buffers(batch.column(1))
-                lang = _languages(batch.column(2))
-                w, before, row = _tokens(data, offsets, lang)
-                of, _ = _find(ids, np.asarray(batch.column(0)).astype(np.int64))
-                bad = toxic[of][row]
-                third = np.zeros_like(before)
-                third[1:] = before[:-1]
-                third[before == 0] = 0
-                key = before << np.uint64(32) | w
-                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(third.astype(np.int64)), pa.array(lang[row].view(np.int64)), pa.array(bad), pa.array(~bad)], names=["key", "third", "lang", "t", "o"])
-
-    return count
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each word with the two before it, for the document's language and for all together."""
+    for batch in C.slices(batches):
+        data, offsets, _ = C.text_buffers(batch.column(1))
+        toxic = np.asarray(batch.column(3))
+        for lang in (_languages(batch.column(2)), np.full(batch.num_rows, POOLED)):
+            w, before, row, first = _tokens(data, offsets, lang)
+            third = np.zeros_like(before)
+            third[1:] = before[:-1]
+            third[first] = 0
+            bad = toxic[row]
+            key = before << np.uint64(32) | w
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(third.astype(np.int64)), pa.array(lang[row].view(np.int64)), pa.array(bad), pa.array(~bad)], names=["key", "third", "lang", "t", "o"])
 
 
 class Model:
@@ -104,15 +103,18 @@ class Model:
 
     def scores(self, data: np.ndarray, offsets: np.ndarray, lang: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
-        w, before, row = _tokens(data, offsets, lang)
+        lang = np.where(np.isin(lang, self.unseen[0]), lang, POOLED)
+        w, before, row, _ = _tokens(data, offsets, lang)
         uw, iw = np.unique(w, return_inverse=True)
         at, found = _find(self.words, uw)
-        ul, il = np.unique(lang, return_inverse=True)
-        unseen = np.array([self.unseen.get(int(k), 0.0) for k in ul])[il]
-        x = np.where(found[iw], self.back[at[iw]] if len(self.back) else 0.0, unseen[row])
-        at, found = _find(self.contexts, uw)
-        opened = np.where(found, self.opened[at] if len(self.opened) else 0.0, 0.0)
-        x[1:] += np.where(before[1:] > 0, opened[iw[:-1]], 0.0)
+        at, found = at[iw], found[iw]
+        x = self.unseen[1][_find(self.unseen[0], lang)[0]][row]
+        x[found] = self.back[at[found]]
+        ub, ib = np.unique(before, return_inverse=True)
+        at, found = _find(self.contexts, ub)
+        opened = np.zeros(len(ub))
+        opened[found] = self.opened[at[found]]
+        x += opened[ib]
         at, found = _find(self.pairs, before << np.uint64(32) | w)
         x[found] = self.seen[at[found]]
         words = np.bincount(row, minlength=n)
@@ -126,59 +128,66 @@ def estimate(pairs: DataFrame) -> Model | None:
     of an unseen word, or none, which totals by language give."""
     h, w = F.shiftrightunsigned("key", 32).alias("h"), F.col("key").bitwiseAND(F.lit((1 << 32) - 1)).alias("w")
     some = lambda c: F.sum((F.col(c) > 0).cast("long")).alias(c)
-    low = lambda c, d: F.least(F.col(c), F.lit(d))
     words = C.materialise(pairs.groupBy(w, "lang").agg(some("t"), some("o")), "continuations")
-    langs = words.groupBy("lang").agg(*[F.sum(c).alias(c) for c in "to"], *[F.sum(low(c, DISCOUNT)).alias(f"{c}_low") for c in "to"]).toPandas()
-    langs = langs[(langs["t"] > 0) & (langs["o"] > 0)].sort_values("lang").reset_index(drop=True)
+    langs = words.groupBy("lang").agg(F.sum("t").alias("t"), F.sum("o").alias("o")).where("t > 0 and o > 0").toPandas()
     if not len(langs):
         return None
-    often = pairs.where(f"t > {PAIR_DISCOUNT} or o > {PAIR_DISCOUNT}")
-    ends = often.select(w).distinct()
-    cont = words.where(f"t > {DISCOUNT} or o > {DISCOUNT}").unionByName(words.join(ends, "w", "left_semi")).toPandas().drop_duplicates("w").sort_values("w")
-    starts = often.select(h).distinct()
-    ctx = pairs.select(h, "t", "o").join(starts, "h").groupBy("h").agg(*[F.sum(c).alias(c) for c in "to"], *[F.sum(low(c, PAIR_DISCOUNT)).alias(f"{c}_low") for c in "to"]).toPandas().sort_values("h")
-    often = often.toPandas().sort_values("key")
-    known = langs["lang"].to_numpy()
-    cont = cont[np.isin(cont["lang"], known)]
-    often = often[np.isin(often["lang"], known)]
-    of = np.searchsorted(known, cont["lang"].to_numpy())
-    vocabulary, contexts = cont["w"].to_numpy(np.int64).view(np.uint64), ctx["h"].to_numpy(np.int64).view(np.uint64)
-    keys = often["key"].to_numpy(np.int64).view(np.uint64)
-    keys, order = np.unique(keys, return_index=True)
+    least = langs[["t", "o"]].min(axis=1)
+    for c in "to":
+        langs[f"d{c}"], langs[f"p{c}"] = DISCOUNT * langs[c] / least, PAIR_DISCOUNT * langs[c] / least
+    sizes = F.broadcast(pairs.sparkSession.createDataFrame(langs[["lang", "dt", "do", "pt", "po"]]))  # a row a language
+    lows = lambda prefix: [F.sum(F.least(F.col(c).cast("double"), F.col(prefix + c))).alias(f"{c}_low") for c in "to"]
+    langs = langs.merge(words.join(sizes, "lang").groupBy("lang").agg(*lows("d")).toPandas(), on="lang")
+    langs = langs.iloc[np.argsort(langs["lang"].to_numpy(np.int64).view(np.uint64))].reset_index(drop=True)
+    often = pairs.join(sizes, "lang").where("t > pt or o > po").select("key", "lang", "t", "o")
+    ends = often.select(w, "lang").distinct()
+    cont = words.join(sizes, "lang").where("t > dt or o > do").select("w", "lang", "t", "o").unionByName(words.join(ends, ["w", "lang"], "left_semi")).distinct().toPandas()
+    starts = often.select(h, "lang").distinct()
+    ctx = pairs.join(sizes, "lang").select(h, "lang", "t", "o", "pt", "po").join(starts, ["h", "lang"], "left_semi").groupBy("h", "lang").agg(*[F.sum(c).alias(c) for c in "to"], *lows("p")).toPandas()
+    often = often.toPandas()
+    unsigned = lambda table, c: table[c].to_numpy(np.int64).view(np.uint64)
+    known = unsigned(langs, "lang")
+    of = lambda table: _find(known, unsigned(table, "lang"))[0]
+
+    def ordered(table, c):
+        keys, first = np.unique(unsigned(table, c), return_index=True)  # of two that share a hash, one
+        return keys, table.iloc[first]
+
+    vocabulary, cont = ordered(cont, "w")
+    contexts, ctx = ordered(ctx, "h")
+    keys, often = ordered(often, "key")
     hi, _ = _find(contexts, keys >> np.uint64(32))
     wi, _ = _find(vocabulary, keys & np.uint64(0xFFFFFFFF))
     number = lambda table, c: table[c].to_numpy(float)
+    wl, cl, kl = of(cont), of(ctx), of(often)
     freed = number(langs, "t_low") + number(langs, "o_low") + 1  # one for words never seen
-    shared = sum(np.minimum(number(cont, c), DISCOUNT) for c in "to") / freed[of]
-    back, unseen, opened, seen = 0.0, 0.0, 0.0, 0.0
+    shared = sum(np.minimum(number(cont, c), number(langs, "d" + c)[wl]) for c in "to") / freed[wl]
+    back, unseen, opened, seen = np.zeros(len(cont)), np.zeros(len(langs)), np.zeros(len(ctx)), np.zeros(len(often))
     for c, sign in (("t", 1), ("o", -1)):
         total = number(langs, c)
         rest = number(langs, c + "_low") / total  # what discounting frees goes to the shared counts
-        p = np.maximum(number(cont, c) - DISCOUNT, 0) / total[of] + rest[of] * shared
-        back = back + sign * np.log(p)
-        unseen = unseen + sign * np.log(rest)
+        p = np.maximum(number(cont, c) - number(langs, "d" + c)[wl], 0) / total[wl] + rest[wl] * shared
+        back += sign * np.log(p)
+        unseen += sign * np.log(rest)
         size = number(ctx, c)
         left = np.where(size > 0, number(ctx, c + "_low") / np.maximum(size, 1), 1.0)
-        opened = opened + sign * np.log(left)
-        m = number(often, c)[order]
-        seen = seen + sign * np.log(np.maximum(m - PAIR_DISCOUNT, 0) / np.maximum(size[hi], 1) + left[hi] * p[wi])
-    f = np.float32
-    return Model(vocabulary, np.asarray(back, f), {int(k): float(x) for k, x in zip(known.view(np.uint64), unseen)}, contexts, np.asarray(opened, f), keys, np.asarray(seen, f))
+        opened += sign * np.log(left)
+        m = number(often, c)
+        if len(often):
+            seen += sign * np.log(np.maximum(m - number(langs, "p" + c)[kl], 0) / np.maximum(size[hi], 1) + left[hi] * p[wi])
+    return Model(vocabulary, back, (known, unseen), contexts, opened, keys, seen)
 
 
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("n_words", pa.int64())])
 
 
-def _scorer(shipped, only: np.ndarray | None = None):
+def _scorer(shipped):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shipped.value
-        for whole in batches:
-            if only is not None:
-                whole = whole.filter(pa.array(_find(only, np.asarray(whole.column(0)).astype(np.int64))[1]))
-            for batch in C.slices([whole]):
-                data, offsets, _ = C.text_buffers(batch.column(1))
-                s, n = model.scores(data, offsets, _languages(batch.column(2)))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(n.astype(np.int64))], schema=_SCORED)
+        for batch in C.slices(batches):
+            data, offsets, _ = C.text_buffers(batch.column(1))
+            s, n = model.scores(data, offsets, _languages(batch.column(2)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s), pa.array(n.astype(np.int64))], schema=_SCORED)
 
     return score
 
@@ -201,20 +210,22 @@ class Detector:
 
     def __init__(self, docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS):
         self.threshold, self.shipped, self.held_out = float("inf"), None, None
-        ids, toxic, held, weight = labelled_ids(labels, max_docs)
-        text = _texts(docs)
-        pairs = text.mapInArrow(_counter(ids, toxic, held), "key long, third long, lang long, t boolean, o boolean").groupBy("key", "third", "lang").agg(F.max("t").alias("t"), F.max("o").alias("o"))
+        used, weight = labelled(labels, max_docs)
+        used = C.materialise(used, "labelled")
+        # the few labelled texts, told apart in the JVM: 2 max_docs identifiers at most
+        text = _texts(docs).join(F.broadcast(used), "doc_id")
+        pairs = text.where("not held").select("doc_id", "text", "lang", "toxic").mapInArrow(_count, "key long, third long, lang long, t boolean, o boolean").groupBy("key", "third", "lang").agg(F.max("t").alias("t"), F.max("o").alias("o"))
         pairs = pairs.groupBy("key", "lang").agg(F.sum(F.col("t").cast("long")).alias("t"), F.sum(F.col("o").cast("long")).alias("o"))
-        model = estimate(C.materialise(pairs, "bigrams")) if toxic.any() and not toxic.all() else None
+        model = estimate(C.materialise(pairs, "bigrams"))
         if model is None:
             return
         self.shipped = docs.sparkSession.sparkContext.broadcast(model)
-        out = text.mapInArrow(_scorer(self.shipped, ids[held]), "doc_id long, score double, n_words long").toPandas()
+        scored = text.where("held").select("doc_id", "text", "lang").mapInArrow(_scorer(self.shipped), "doc_id long, score double, n_words long")
+        out = scored.join(F.broadcast(used), "doc_id").select("doc_id", "score", "n_words", "toxic").toPandas()
         if len(out):
-            y = toxic[np.searchsorted(ids, out["doc_id"].to_numpy())]
-            self.held_out = (out["score"].to_numpy(), y, out["n_words"].to_numpy(), out["doc_id"].to_numpy())
-            if y.any():
-                self.threshold = best_threshold(out["score"].to_numpy(), y, weight)
+            self.held_out = out
+            if out["toxic"].any():
+                self.threshold = best_threshold(out["score"].to_numpy(), out["toxic"].to_numpy(bool), weight)
 
     def scores(self, docs: DataFrame) -> DataFrame:
         if self.shipped is None:
@@ -227,6 +238,6 @@ class Detector:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """The toxic ones among all documents, with their scores."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     found = Detector(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return found.toxic(docs)

@@ -136,40 +136,80 @@ def test_toxicity_on_documents_without_labels(spark, labelled):
     assert len(found & truth) >= 0.95 * len(truth) and len({i for i in rest if i in found} - truth) <= 0.03 * len(rest)
 
 
-def test_toxicity_scores_match_a_plain_model(spark, labelled):
-    """The tables that score documents against the formula, with dictionaries."""
-    docs, labels = labelled
-    d = T.Detector(docs, spark.createDataFrame(labels[:600], "doc_id long, toxic int"))
-    ids, toxic, held, _ = T.labelled_ids(spark.createDataFrame(labels[:600], "doc_id long, toxic int"))
-    used = {int(i): bool(t) for i, t, h in zip(ids, toxic, held) if not h}
-    rows = [r for r in docs.collect() if r.lang == "fr"]
+def plain_model(rows, used):
+    """Scores of (doc_id, text, lang) by dictionaries, from the formulas; used: whether toxic, of documents that count."""
     import math
-
-    tri = [{}, {}]
-    for r in rows:
-        if r.doc_id in used:
-            w = r.text.split()
-            for k, x in enumerate(w):
-                tri[used[r.doc_id]][(w[k - 2] if k > 1 else "", w[k - 1] if k else "", x)] = 1
-    pair = [collections.Counter((b, c) for _, b, c in t) for t in tri]
-    word = [collections.Counter(c for _, c in p) for p in pair]
-    vocabulary = set(word[0]) | set(word[1])
-    freed = {w: sum(min(word[c][w], T.DISCOUNT) for c in (0, 1)) for w in vocabulary}
-    total = sum(freed.values()) + 1
-
-    def p(c, h, w):
-        n = sum(word[c].values())
-        low = max(word[c][w] - T.DISCOUNT, 0) / n + sum(min(x, T.DISCOUNT) for x in word[c].values()) / n * freed.get(w, 1) / total
-        after = [x for (a, _), x in pair[c].items() if a == h] if h else []
-        if not after:
+    import re
+
+    split = lambda t: re.findall(r"[^\x00-\x40\x5b-\x60\x7b-\x7f]+", t.lower())
+    tri = collections.defaultdict(lambda: [set(), set()])
+    for i, text, lang in rows:
+        for l in (("of", lang), ("all",)) if i in used and text else ():
+            w = ["<s>", *split(text)]
+            for k in range(1, len(w)):
+                tri[l][used[i]].add((w[k - 2] if k > 1 else "", w[k - 1], w[k]))
+    models = {}
+    for l, t in tri.items():
+        pair = [collections.Counter((b, c) for _, b, c in x) for x in t]
+        word = [collections.Counter(c for _, c in p) for p in pair]
+        sizes = [sum(x.values()) for x in word]
+        if all(sizes):
+            after = [collections.defaultdict(collections.Counter) for _ in (0, 1)]
+            for c in (0, 1):
+                for (h, w), n in pair[c].items():
+                    after[c][h][w] = n
+            d, e = ([k * n / min(sizes) for n in sizes] for k in (T.DISCOUNT, T.PAIR_DISCOUNT))
+            freed = {w: sum(min(word[c][w], d[c]) for c in (0, 1)) for w in set(word[0]) | set(word[1])}
+            models[l] = (word, sizes, after, d, e, freed, sum(freed.values()) + 1)
+
+    def p(m, c, h, w):
+        word, sizes, after, d, e, freed, total = m
+        low = max(word[c][w] - d[c], 0) / sizes[c] + sum(min(x, d[c]) for x in word[c].values()) / sizes[c] * freed.get(w, 1) / total
+        # contexts that no pair beyond its discount follows are not kept: both classes fall back in full
+        kept = any(n > e[k] for k in (0, 1) for n in after[k][h].values())
+        n = sum(after[c][h].values())
+        if not kept or not n:
             return low
-        return max(pair[c][h, w] - T.PAIR_DISCOUNT, 0) / sum(after) + sum(min(x, T.PAIR_DISCOUNT) for x in after) / sum(after) * low
+        return max(after[c][h][w] - e[c], 0) / n + sum(min(x, e[c]) for x in after[c][h].values()) / n * low
+
+    scores = {}
+    for i, text, lang in rows:
+        m = models.get(("of", lang)) or models[("all",)]
+        w = ["<s>", *split(text or "")]
+        x = sum(math.log(p(m, 1, w[k - 1], w[k]) / p(m, 0, w[k - 1], w[k])) for k in range(1, len(w)))
+        scores[i] = x / (len(w) - 1 + T.PRIOR_WORDS), len(w) - 1
+    return scores
 
-    scores = {r.doc_id: r.score for r in d.scores(docs).collect()}
-    for r in rows[:5]:
-        w = r.text.split()
-        x = sum(math.log(p(1, w[k - 1] if k else "", v) / p(0, w[k - 1] if k else "", v)) for k, v in enumerate(w))
-        assert abs(scores[r.doc_id] - x / (len(w) + T.PRIOR_WORDS)) < 2e-2
+
+def test_toxicity_matches_a_plain_model(spark, labelled, tmp_path):
+    """The whole query against dictionaries: every document's score, the threshold, and what is found."""
+    docs, labels = labelled
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()][:300] + [(2000, "dolt scoundrel " * 20, None), (2001, "a quiet day", "xx"), (2002, "", "en"), (2003, None, "fr")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    known = spark.createDataFrame(labels[:200], "doc_id long, toxic int")
+    known.write.parquet(str(tmp_path / "labels.parquet"))
+    used, weight = T.labelled(known)
+    used = used.collect()
+    assert len(used) == 200 and weight == 1.0  # every label counts, of both classes
+    held = {r.doc_id: r.toxic for r in used if r.held}
+    want = plain_model(rows, {r.doc_id: r.toxic for r in used if not r.held})
+    assert 10 < len(held) < 80
+    d = T.Detector(spark.read.parquet(str(tmp_path / "documents.parquet")), known)
+    got = {r.doc_id: (r.score, r.n_words) for r in d.scores(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()}
+    assert got.keys() == want.keys() and all(got[i][1] == want[i][1] and abs(got[i][0] - want[i][0]) < 1e-9 for i in want)
+    ids = sorted(held)
+    threshold = T.best_threshold(np.array([want[i][0] for i in ids]), np.array([held[i] for i in ids]))
+    assert abs(threshold - d.threshold) < 1e-9
+    assert {r.doc_id for r in T.query(spark, str(tmp_path)).collect()} == {i for i, (s, n) in want.items() if s >= threshold and n}
+    assert 2000 in {r.doc_id for r in d.toxic(docs.unionAll(spark.createDataFrame([rows[300]], docs.schema))).collect()}
+
+
+def test_labels_are_used_up_to_the_bound(spark):
+    labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(9000)], "doc_id long, toxic int")
+    n = lambda most: collections.Counter(r.toxic for r in T.labelled(labels, most)[0].collect())
+    assert n(10**9) == n(8000) == {True: 1000, False: 8000}
+    some = n(2000)
+    assert some[True] == 1000 and 1800 < some[False] < 2200 and T.labelled(labels, 2000)[1] == 4.0
 
 
 def test_toxicity_of_odd_rows(spark, odd_docs, no_docs):
