@@ -9,13 +9,20 @@ Defined results: an empty folder or file gives no records; an empty payload is e
 page_id has no such header and comes back with null there; one without html is written as status 204 and comes back as
 null. Repeated rows are records of their own. Bytes inside a stored member that spell a whole record can't be told
 from one by a task that starts within it.
+
+Files of others: headers come as they stand, in their order, repeated ones too; a header's further lines are joined to it.
+A response is split at its first blank line if it begins with an HTTP status line, else all of it is the page. Bytes are
+decoded by the charset that the HTTP header names (UTF-8 without one, or if it is unknown), what can't be decoded as U+FFFD.
+Bodies in a transfer or content encoding are not unpacked.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -23,23 +30,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
 SPLIT_BYTES, READ_BYTES, HEADER_BYTES = 32 << 20, 1 << 20, 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 LEVEL = 6
+EXACT = "X-Exact-Url"  # a url that no header can hold as it is, escaped; only in files of our own
 DATE = "2024-01-01T00:00:00Z"
 
 
-def _line(value: str) -> str:
-    """A header's value: no line break or control can be in it, so these are written as in URLs."""
-    return "".join(c if c >= " " and c != "\x7f" and c != "%" else "".join(f"%{b:02X}" for b in c.encode()) if c != "%" else "%25" for c in value)
+def _escaped(value: str) -> str:
+    """As in URLs, so that a header can hold it: no line break or control may stand there, nor a blank at either end."""
+    return quote(value, safe="/:?#[]@!$&'()*+,;=-._~")
 
 
-def _unline(value: str) -> str:
-    from urllib.parse import unquote
-
-    return unquote(value)
+def _plain(value: str) -> bool:
+    return value == value.strip() and not any(c < " " or c == "\x7f" for c in value)
 
 
 def record(kind: str, headers: dict[str, str], payload: bytes) -> bytes:
@@ -56,7 +64,9 @@ def page_record(page_id, url, html) -> bytes:
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {url}")
     headers = {"WARC-Record-ID": f"<urn:uuid:{name}>", "Content-Type": "application/http; msgtype=response"}
     if url is not None:
-        headers["WARC-Target-URI"] = _line(url)
+        headers["WARC-Target-URI"] = url if _plain(url) else _escaped(url)
+        if not _plain(url):
+            headers[EXACT] = _escaped(url)
     return record("response", headers, http.encode() + (html or "").encode())
 
 
@@ -81,19 +91,32 @@ def write_pages(pages: DataFrame, folder: str) -> int:
     return light.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
 
 
-def parse_head(block: bytes) -> tuple[dict[str, str], int] | None:
-    """Headers (names in lower case) of a record, and where its payload begins; None if it isn't one."""
+def header_lines(lines: list[bytes]) -> list[tuple[str, str]]:
+    """(name, value) of each header, names in lower case."""
+    found: list[tuple[str, str]] = []
+    for line in lines:
+        name, colon, value = line.partition(b":")
+        if line[:1] in (b" ", b"\t") and found:
+            found[-1] = (found[-1][0], (found[-1][1] + " " + line.strip().decode("utf-8", "replace")).strip())
+        elif colon:
+            found.append((name.strip().lower().decode("utf-8", "replace"), value.strip().decode("utf-8", "replace")))
+    return found
+
+
+def first_of(headers: list[tuple[str, str]], name: str) -> str | None:
+    return next((v for k, v in headers if k == name), None)
+
+
+def parse_head(block: bytes) -> tuple[list[tuple[str, str]], int] | None:
+    """Headers of a record, and where its payload begins; None if it isn't one."""
     if not block.startswith(b"WARC/1."):
         return None
     end = block.find(b"\r\n\r\n")
     if end < 0:
         return None
-    found = {}
-    for line in block[:end].split(b"\r\n")[1:]:
-        k, colon, v = line.partition(b":")
-        if colon:
-            found[k.strip().lower().decode("utf-8", "replace")] = v.strip().decode("utf-8", "replace")
-    return (found, end + 4) if found.get("content-length", "").isdigit() and "warc-type" in found else None
+    found = header_lines(block[:end].split(b"\r\n")[1:])
+    length = first_of(found, "content-length") or ""
+    return (found, end + 4) if length.isascii() and length.isdigit() and first_of(found, "warc-type") is not None else None
 
 
 class Source:
@@ -127,7 +150,7 @@ class Source:
         return -1
 
 
-def member(source: Source, at: int) -> tuple[dict[str, str], bytes, int] | None:
+def member(source: Source, at: int) -> tuple[list[tuple[str, str]], bytes, int] | None:
     """The record whose member begins at ``at``: headers, payload and the place after it. None if there is none."""
     z, parts, n, head, tried = zlib.decompressobj(31), [], 0, None, 9
     while not z.eof:
@@ -149,13 +172,13 @@ def member(source: Source, at: int) -> tuple[dict[str, str], bytes, int] | None:
             tried = max(HEADER_BYTES, 2 * n) if n >= HEADER_BYTES else 9  # headers may be of any length
     headers, begin = head
     body = b"".join(parts)
-    length = int(headers["content-length"])
+    length = int(first_of(headers, "content-length"))
     if len(body) < begin + length:
         return None
     return headers, body[begin : begin + length], at - len(z.unused_data)
 
 
-def records(source: Source, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
+def records(source: Source, start: int, end: int) -> Iterator[tuple[int, list[tuple[str, str]], bytes]]:
     """Records that begin in [start, end)."""
     at, joined = start, False
     while at < end:
@@ -180,14 +203,14 @@ def splits(folder: str, split_bytes: int = SPLIT_BYTES) -> list[tuple[str, int,
 
 
 _RECORDS = pa.schema(
-    [("path", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("payload", pa.binary())]
+    [("path", pa.string()), ("offset", pa.int64()), ("type", pa.string()), ("record_id", pa.string()), ("uri", pa.string()), ("date", pa.string()), ("headers", pa.list_(pa.struct([("name", pa.string()), ("value", pa.string())]))), ("payload", pa.binary())]
 )
 
 
 def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """All records of a folder's .warc.gz files."""
     todo = splits(folder, split_bytes)
-    schema = "path string, offset long, type string, record_id string, uri string, date string, headers map<string,string>, payload binary"
+    schema = "path string, offset long, type string, record_id string, uri string, date string, headers array<struct<name:string,value:string>>, payload binary"
     if not todo:
         return spark.createDataFrame([], schema)
 
@@ -203,8 +226,8 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
             for path, start, end, whole in zip(*(c.to_pylist() for c in batch.columns)):
                 with fs.open_input_file(path) as file:
                     for at, h, payload in records(Source(file, whole), start, end):
-                        uri = h.get("warc-target-uri")
-                        rows.append((path, at, h["warc-type"], h.get("warc-record-id"), None if uri is None else _unline(uri), h.get("warc-date"), list(h.items()), payload))
+                        own = [first_of(h, k) for k in ("warc-type", "warc-record-id", "warc-target-uri", "warc-date")]
+                        rows.append((path, at, *own, [{"name": k, "value": v} for k, v in h], payload))
                         size += len(payload)
                         if size > C.SLICE_BYTES:
                             yield full()
@@ -217,14 +240,41 @@ def read(spark: SparkSession, folder: str, split_bytes: int = SPLIT_BYTES) -> Da
     return table.mapInArrow(scan, schema)
 
 
+_PAGE = pa.struct([("page_id", pa.int64()), ("html", pa.string())])
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+_CHARSET = re.compile(r"charset *= *[\"']?([\w.:-]+)", re.I)
+_NUMBER = re.compile(r"-?[0-9]{1,18}")
+
+
+def decoded(body: bytes, charset: str | None) -> str:
+    try:
+        return body.decode(charset or "utf-8", "replace")
+    except (LookupError, ValueError):
+        return body.decode("utf-8", "replace")
+
+
+def page_of(payload: bytes | None) -> tuple[int | None, str | None]:
+    """(page_id, html) of a response's payload."""
+    if payload is None or not payload.startswith(b"HTTP/"):
+        return None, None if payload is None else decoded(payload, None)
+    cut = _HEAD_END.search(payload)
+    lines = payload[: cut.start() if cut else len(payload)].splitlines()
+    headers = header_lines(lines[1:])
+    page_id = first_of(headers, "x-page-id") or ""
+    charset = _CHARSET.search(first_of(headers, "content-type") or "")
+    empty = lines[0].split(b" ")[1:2] == [b"204"]
+    return int(page_id) if _NUMBER.fullmatch(page_id) else None, None if empty else decoded(payload[cut.end() :] if cut else b"", charset and charset.group(1))
+
+
 def pages(found: DataFrame) -> DataFrame:
     """(page_id, url, html) of response records."""
-    text = F.decode("payload", "UTF-8")
-    cut = F.instr(text, "\r\n\r\n")
-    head = F.substring(text, F.lit(1), cut)
-    page_id = F.regexp_extract(head, r"(?i)\r\nX-Page-Id: *(-?[0-9]+)", 1)
-    html = F.when(~head.rlike(r"^HTTP/1\.[01] 204"), F.substring(text, cut + 4, F.length(text)))
-    return found.where("type = 'response'").select(F.when(page_id != "", page_id.cast("long")).alias("page_id"), F.col("uri").alias("url"), html.alias("html"))
+
+    def read_pages(payload: pa.Array) -> pa.Array:
+        return pa.array([dict(zip(("page_id", "html"), page_of(x))) for x in payload.to_pylist()], _PAGE)
+
+    exact = F.filter("headers", lambda h: h["name"] == EXACT.lower())
+    rows = found.where("type = 'response'").select("uri", F.get(exact, F.lit(0))["value"].alias("exact"), F.arrow_udf(read_pages, "page_id long, html string")("payload").alias("page"))
+    return rows.select("page.page_id", F.coalesce(F.try_url_decode(F.replace("exact", F.lit("+"), F.lit("%2B"))), "uri").alias("url"), "page.html")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -232,7 +282,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     folder = C.work_path(spark, "warc")
     if "://" not in folder:
         folder = ("file://" if folder.startswith("/") else "") + folder.replace("file:/", "file:///", 1)
-    write_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
+    write_pages(table(spark, sf_dir, "pages"), folder)
     return pages(read(spark, folder))
 
 

@@ -70,7 +70,7 @@ PAGES = "page_id long, url string, html string, payload string"
 
 
 def odd_pages(spark):
-    rows = [(1, "http://a/ü?x=1%20y", "<p>é</p>"), (2, None, "x"), (None, "http://b", "y\r\n\r\nz"), (3, "u\nrl", None), (4, "", ""), (5, "http://big", "q" * 3_000_000), (1, "http://a/ü?x=1%20y", "<p>é</p>")]
+    rows = [(1, "http://a/ü?x=1%20y", "<p>é</p>"), (2, None, "x"), (None, "http://b", "y\r\n\r\nz"), (3, "u\nrl", None), (4, "", ""), (5, "http://big", "q" * 3_000_000), (1, "http://a/ü?x=1%20y", "<p>é</p>"), (7, " http://a/ %0A+%2B ", "x"), (8, "a\tb+c%", "y")]
     return spark.createDataFrame([(*r, "extra") for r in rows], PAGES)
 
 
@@ -81,7 +81,7 @@ def key(r):
 def test_pages_come_back_from_warc(spark):
     pages = odd_pages(spark)
     folder = C.work_path(spark, "warc-test")
-    assert W.write_pages(pages.repartition(3), folder) == 7
+    assert W.write_pages(pages.repartition(3), folder) == 9
     want = sorted((tuple(r)[:3] for r in pages.collect()), key=key)
     for size in (64, 1000, 1 << 20):
         assert sorted((tuple(r) for r in W.pages(W.read(spark, folder, size)).collect()), key=key) == want
@@ -111,7 +111,7 @@ def test_damage_is_passed_over(tmp_path):
     path = tmp_path / "x.warc.gz"
     path.write_bytes(data)
     with open(path, "rb") as f:
-        assert [h["warc-target-uri"] for _, h, _ in W.records(W.Source(f, len(data)), 0, len(data))] == ["u0", "u1", "u3"]
+        assert [W.first_of(h, "warc-target-uri") for _, h, _ in W.records(W.Source(f, len(data)), 0, len(data))] == ["u0", "u1", "u3"]
 
 
 def test_rollup_is_additive_and_idempotent(spark):
@@ -160,3 +160,36 @@ def test_counts_of_odd_rows(odd_docs, no_docs):
     got = {r.doc_id: r for r in R.counted(odd_docs).collect()}
     assert got[4].n_tokens == 0 and got[6].n_tokens == 0 and got[8].lang == "" and got[9].source == "" and got[10].n_tokens > 1000
     assert R.counted(no_docs).count() == 0
+
+
+def test_files_of_others(spark):
+    """Other charsets, urls that are escaped already, payloads without a head, repeated and folded headers, long headers."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html%s\r\n\r\n"
+    payloads = [
+        (http % b"" + b"caf\xe9", "caf\ufffd"),
+        (http % b"; charset=ISO-8859-1" + b"caf\xe9", "caf\xe9"),
+        (http % b'; charset="windows-1251"' + "мир".encode("cp1251"), "мир"),
+        (http % b"; charset=no-such" + "é".encode(), "é"),
+        (http % b"; charset=undefined" + b"x", "x"),
+        (b"<p>hello", "<p>hello"),
+        (b"", ""),
+        (b"HTTP/1.1 200 OK\r\nA: b", ""),
+        (b"HTTP/1.0 200 OK\nX-Page-Id: 12\n\na\n\nb", "a\n\nb"),
+        (b"HTTP/1.1 204 No Content\r\n\r\n", None),
+    ]
+    parts = [W.record("response", {"WARC-Target-URI": "http://a/x%20y?n=" + str(i)}, p) for i, (p, _) in enumerate(payloads)]
+    raw = b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Concurrent-To: <a>\r\nWARC-Concurrent-To: <b>\r\nX-Long: one\r\n  two\r\nX-Big: " + os.urandom(60_000).hex().encode() + b"\r\nContent-Length: 2\r\n\r\nhi\r\n\r\n"
+    parts.append(gzip.compress(raw))
+    folder = C.work_path(spark, "warc-foreign")
+    path = folder.removeprefix("file://")
+    os.makedirs(path)
+    with open(path + "/x.warc.gz", "wb") as f:
+        f.write(b"".join(parts))
+    found = W.read(spark, folder).orderBy("offset").collect()
+    assert len(found) == len(payloads) + 1
+    assert [r.uri for r in found[:-1]] == [f"http://a/x%20y?n={i}" for i in range(len(payloads))]
+    last = [(h["name"], h["value"]) for h in found[-1].headers]
+    assert last[1:4] == [("warc-concurrent-to", "<a>"), ("warc-concurrent-to", "<b>"), ("x-long", "one two")] and len(last[4][1]) == 120_000
+    got = {r.url: (r.page_id, r.html) for r in W.pages(W.read(spark, folder)).collect()}
+    assert [got[f"http://a/x%20y?n={i}"][1] for i in range(len(payloads))] == [want for _, want in payloads]
+    assert got["http://a/x%20y?n=8"][0] == 12 and got[None] == (None, "hi")
