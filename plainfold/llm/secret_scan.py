@@ -1,31 +1,45 @@
 """Secret scans with a character convolutional network in numpy.
 
-Every run of MIN_LENGTH or more key characters that holds a digit or two capitals is a candidate. The network reads the
-whole candidate and CONTEXT bytes on either side: embedded characters (and whether they belong to the candidate), one
+A candidate is every run of MIN_LENGTH or more key characters that holds a digit or two capitals, and every value of
+MIN_VALUE or more characters, of whatever kind, that a credential's name and an assignment sign stand before (up to the
+closing quote, or to a blank where there is none). The network reads the whole candidate and CONTEXT bytes on either side: embedded characters (and whether they belong to the candidate), one
 convolution, its greatest and its mean value within the candidate, and a dense layer. It is trained on labelled findings
-(``labelled_findings``, or any list of one's own), its scores are calibrated on findings held out from training, and the
+(``labelled_findings``, or any list of one's own) by ``python -m plainfold.llm.secret_scan``, which writes its weights
+beside this file; scans read these. Its scores are calibrated on findings held out from training, and the
 threshold is the highest that still finds MIN_RECALL of these.
 
 Defined results: null and empty texts have no candidates. Several findings of a document are rows of their own, in whatever
 number; repeated rows are scanned each. Offsets count characters. The secret itself is not in the result, only its
-first characters. A null doc_id stays null.
+first characters, a quarter of them at most. A null doc_id stays null. Not looked for: secrets under MIN_LENGTH
+characters that no name stands before, and single lower-case words as passwords, which look like any other word.
 """
 
 from __future__ import annotations
 
 import random
+import re
 import string
+import time
 from collections.abc import Iterator
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
-MIN_LENGTH, CONTEXT, MIN_RECALL, SEED, FINDINGS = 16, 40, 0.998, 11, 9000
-SHOWN = 4
+MIN_LENGTH, CONTEXT, MIN_RECALL, SEED, FINDINGS = 16, 40, 0.998, 11, 12_000
+MIN_VALUE, SHOWN = 6, 4
+WEIGHTS = Path(__file__).with_name("secret_scan_weights.npz")
+
+_ASSIGNED = re.compile(
+    rb"(?i)(?:pass(?:word|wd|phrase|code)|(?<![a-z])pass|pwd|secret|token|credentials?|(?:api|access|auth|private|signing|secret|encryption)[_-]?key)s?[\"']?"
+    rb"[ \t]*(?::=|=>|[:=])[ \t]*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'<>,;]{6,}))"
+)
 
 _KEY = np.zeros(256, bool)
 _KEY[[ord(c) for c in string.ascii_letters + string.digits + "+/_-"]] = True
@@ -43,7 +57,28 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     digits = np.concatenate([[0], np.cumsum((data >= 48) & (data < 58))])
     capitals = np.concatenate([[0], np.cumsum((data >= 65) & (data < 91))])
     ok = (digits[end] > digits[start]) | (capitals[end] - capitals[start] > 1)
-    return start[ok], end[ok], row[ok]
+    start, end, row = start[ok], end[ok], row[ok]
+    at, to, of = assigned(data, offsets)
+    if not len(at):
+        return start, end, row
+    k = np.searchsorted(at, end) - 1  # the last value that begins before a run's end
+    apart = (k < 0) | (to[k] <= start)
+    start, end, row = (np.concatenate([x[apart], y]) for x, y in ((start, at), (end, to), (row, of)))
+    order = np.argsort(start, kind="stable")
+    return start[order], end[order], row[order]
+
+
+def assigned(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends (bytes) and rows of the values that credentials' names stand before."""
+    raw = data.tobytes()
+    apart = b"\n".join([raw[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())])  # no value goes beyond its line
+    found = [m.span(m.lastindex) for m in _ASSIGNED.finditer(apart)]
+    if not found:
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    at, to = np.array(found, np.int64).T
+    row = np.searchsorted(offsets + np.arange(len(offsets)), at, side="right") - 1
+    return at - row, to - row, row
 
 
 # --- labelled findings -------------------------------------------------------------------------------------------
@@ -67,9 +102,44 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[bytes,
     def named(names: str, value: str) -> tuple[str, str, str]:
         name, q = r.choice(names.split()), r.choice(["", '"', "'"])
         name = r.choice([name, name.upper(), name.capitalize()])
+        name = f'"{name}"' if r.random() < 0.15 else name
         return name + r.choice(["=", " = ", ": ", ":", " := ", "=> "]) + q, value, q
 
+    def syllables(k: int) -> str:
+        return "".join(r.choice(parts[:30]) for _ in range(k))
+
+    def short() -> str:
+        k = r.randrange(6)
+        if k == 5:  # figures for letters
+            w = syllables(r.randint(3, 5)).translate(str.maketrans("aeios", "43105"))
+            return (w if any(c.isdigit() for c in w) else w + "7") + r.choice(["", "!", "#", "$$", "word", "#word!", "_x"])
+        if k == 0:  # a word with figures or signs
+            w = syllables(r.randint(2, 4))
+            return (w.capitalize() if r.random() < 0.5 else w) + pick(string.digits, r.randint(1, 4)) + r.choice(["", "!", "#", "$", "x", "?", "Secret!", "@home"])
+        if k == 1:
+            return pick(mixed + "!@#$%^&*+-_", r.randint(4, 8)) + r.choice(string.digits) + pick(mixed + "!@#$%^&*+-_", r.randint(3, 6))
+        if k == 2:
+            return r.choice("-_.").join(syllables(r.randint(2, 3)) for _ in range(r.randint(4, 5)))
+        if k == 3:
+            return pick(string.ascii_lowercase, r.randint(16, 24))
+        return pick(string.ascii_lowercase, 4) + pick(string.ascii_uppercase, 4) + pick(string.digits, 4)
+
+    def placeholder() -> str:
+        k = r.randrange(6)
+        name = r.choice(["password", "DB_PASSWORD", "API_KEY", "token", "secret", "AUTH_TOKEN", "value"])
+        if k < 2:
+            return syllables(r.randint(3, 5)) + r.choice(["", ".", "!", ")"])
+        if k == 2:
+            return r.choice(["*", "x", "X", "•", "-", ".", "#"]) * r.randint(6, 14)
+        if k == 3:
+            return r.choice(["${%s}", "$%s-", "{{%s}}", "os.environ[%s]", "process.env.%s", "getenv(%s)", "%%%s%%", "config.%s", "args.%s", "self.%s", "your_%s", "[%s]", "my-%s-here", "vault:%s"]) % name
+        if k == 4:
+            return r.choice(["required", "optional", "changeme", "[REDACTED]", "(hidden)", "undefined", "string", "redacted", "example", "missing", "invalid", "expired", "forgotten", "Required", "REQUIRED", "incorrect", "function(x)", "str|None"])
+        return r.choice(["/etc/", "./", "https://", "../", "file://"]) + "/".join(syllables(r.randint(2, 3)) for _ in range(r.randint(2, 4))) + r.choice(["", ".txt", ".yaml", "/"])
+
     def secret() -> tuple[str, str, str]:
+        if r.random() < 0.2:
+            return named("password passwd pwd db_password pass secret token api_key passphrase access_key user_password", short())
         k = r.randrange(9) if r.random() < 0.8 else 2 + r.randrange(4)
         if k < 2:
             return "", "AKIA" + pick(upper, 16), ""
@@ -84,6 +154,8 @@ def labelled_findings(n: int = FINDINGS, seed: int = SEED) -> list[tuple[bytes,
         return named("aws_secret_access_key secret_key signing_key", pick(mixed + "+/", 40))
 
     def other() -> tuple[str, str, str]:
+        if r.random() < 0.2:
+            return named("password passwd pwd db_password pass secret token api_key passphrase access_key tokens secrets", placeholder())
         k = min(r.randrange(18), 12) if r.random() < 0.7 else r.choice([1, 5])
         if k == 0:
             return r.choice(["", "card ", "nr. ", "id ", "ISBN "]), pick(string.digits, r.randint(16, 20)), ""
@@ -257,9 +329,21 @@ def fitted(findings: list[tuple[bytes, int, int, bool]] | None = None, min_recal
 _FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("shown", pa.string()), ("score", pa.float64())])
 
 
+def save(net: Network, path: Path = WEIGHTS) -> None:
+    np.savez_compressed(path, slope=net.slope, shift=net.shift, threshold=net.threshold, **{f"p_{k}": v for k, v in net.p.items()})
+
+
+def load(path: Path = WEIGHTS) -> Network:
+    net = Network()
+    with np.load(path) as f:
+        net.p = {k[2:]: f[k] for k in f.files if k.startswith("p_")}
+        net.slope, net.shift, net.threshold = (float(f[k]) for k in ("slope", "shift", "threshold"))
+    return net
+
+
 @cache
 def default_network() -> Network:
-    return fitted()
+    return load()
 
 
 def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
@@ -280,11 +364,18 @@ def scan(docs: DataFrame, net: Network | None = None) -> DataFrame:
             if len(good):
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 at = [chars[x[good]] - chars[lo[good]] for x in (start, end)]
-                shown = [data[s : s + SHOWN].tobytes().decode("ascii") for s in start[good]]
+                shown = [data[s:e].tobytes().decode("utf-8", "replace") for s, e in zip(start[good], end[good])]
+                shown = [x[: min(SHOWN, len(x) // 4)] for x in shown]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[good])), pa.array(at[0]), pa.array(at[1]), pa.array(shown, pa.string()), pa.array(score[good])], schema=_FOUND)
 
     return C.doc_text(docs).mapInArrow(scanned, "doc_id long, start long, end long, shown string, score double")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(table(spark, sf_dir, "documents"))
+
+
+if __name__ == "__main__":
+    began = time.perf_counter()
+    save(fitted())
+    print(f"trained in {time.perf_counter() - began:.0f} s: {WEIGHTS}, threshold {load().threshold:.4f}")
