@@ -1,17 +1,23 @@
-"""Substring dedup by windows of MIN_WORDS words, grouped by their least hashes.
+"""Substring dedup by relative Lempel-Ziv parsing.
 
-Every window of MIN_WORDS words that stands in two documents is found, whichever and however many documents those are.
-A window's key is the least hash of the ANCHOR-word grams in it, so copies of it have the same key wherever they stand.
-Successive windows with one key at one place form a run. Runs whose keys are in one document only are left out;
-a run that another document has as a whole is settled by one hash. Of the other runs with shared keys, and of two copies
-(in different documents) of each settled run with such a key, every window's hash is compared. Windows that overlap or
-touch are joined to spans.
+The reference is all documents, and its index holds every block of MIN_WORDS words that stands in two of them. Each
+document is parsed from its start: at each place the factor is taken that reaches furthest in any indexed block that
+holds the place, and parsing goes on where it ends; words that no block holds are literals. A factor's match is then
+followed back over the factor's boundary: it may have begun in the factor before, so that what is left of it is short.
+Matches of MIN_WORDS words or more, boundaries crossed, are duplicates, and factors that touch make up one span.
 
-The source of a run (window) is its first occurrence by (doc_id, position); for the document that holds that one, its
+The index is never held by one task. A block's key is the least hash of the ANCHOR-word grams in it, so copies of it have
+the same key wherever they stand. Successive blocks with one key at one place form a run. Runs whose keys are in one
+document only are left out; a run that another document has as a whole is settled by one hash. Of the other runs with
+shared keys, and of two copies (in different documents) of each settled run with such a key, every block's hash is
+compared. So each block that two documents share is found, whichever and however many documents those are.
+
+The source of a run (block) is its first occurrence by (doc_id, position); for the document that holds that one, its
 last. Both occurrences of a passage are hence reported, by whichever document they stand in.
 
 Defined results: words are what lies between ASCII white space. Null, empty and shorter texts have no span. Repeats
-within one document are not counted, so repeated rows of one doc_id are one document; rows without a doc_id are left out.
+within one document are not counted, so repeated rows of one doc_id are one document; of texts that differ under one
+doc_id, places of any count. Rows without a doc_id are left out.
 """
 
 from __future__ import annotations
@@ -20,12 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
 MIN_WORDS, ANCHOR, WINDOW = 50, 25, 25  # MIN_WORDS words are those of one anchor and WINDOW words more
+HELD = 1 << 18  # matches of a document beyond which those that are the same are joined before more come
 
 
 def _word_hashes(data: np.ndarray, offsets: np.ndarray):
@@ -123,24 +132,105 @@ def pieces(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) ->
     kinds = C.materialise(kinds.join(keys, "key").withColumn("alone", alone), "run-kinds")
     settled = _sourced(found, kinds.where("not alone"), ["key", "run"], F.col("n"), min_words)
     compared = found.join(kinds.where("open"), ["key", "run"]).where(F.col("alone") | (place == F.col("first")) | (place == F.col("last")))
-    asked = compared.select("doc_id", F.struct("pos", "n").alias("run")).groupBy("doc_id").agg(F.array_distinct(F.collect_list("run")).alias("asked"))
+    asked = compared.select("doc_id", F.struct("pos", "n").alias("run")).groupBy("doc_id").agg(F.collect_set("run").alias("asked"))
     windows = C.materialise(text.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_hashes(min_words, anchor), "window long, doc_id long, pos int"), "windows")
     twice = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.doc_id < last.doc_id")
     return settled.unionAll(_sourced(windows, twice, ["window"], F.lit(1), min_words))
 
 
+def parse(start: np.ndarray, end: np.ndarray, src: np.ndarray, shift: np.ndarray) -> list[tuple[int, int, int]]:
+    """Greedy factors (from, to, which match) of a document from its matches, which are sorted by start.
+
+    At a place, the match that holds it and reaches furthest; of equals the one of the least source, then shift."""
+    out, at, k, n = [], -1, 0, len(start)
+    best = -1
+    while k < n or best >= 0:
+        while k < n and start[k] <= at:
+            if best < 0 or (-end[k], src[k], shift[k]) < (-end[best], src[best], shift[best]):
+                best = k
+            k += 1
+        if best >= 0 and end[best] > at:
+            out.append((at, int(end[best]), best))
+            at, best = int(end[best]), -1
+        elif k < n:
+            at, best = int(start[k]), -1  # literals up to the next match
+        else:
+            break
+    return out
+
+
+def matches(start, end, src, shift) -> tuple[np.ndarray, ...]:
+    """Stretches with one source and shift that overlap or touch, joined; sorted by start."""
+    order = np.lexsort((start, shift, src))
+    start, end, src, shift = start[order], end[order], src[order], shift[order]
+    reach = np.empty_like(end)
+    new = np.concatenate([[True], (src[1:] != src[:-1]) | (shift[1:] != shift[:-1])])
+    group = np.cumsum(new)
+    # the furthest end so far within a group: groups lie far apart on one axis
+    far = int(end.max()) + 2
+    reach = np.maximum.accumulate(end + group * far) - group * far
+    new[1:] |= start[1:] > reach[:-1]
+    at = np.flatnonzero(new)
+    joined = start[at], np.maximum.reduceat(end, at), src[at], shift[at]
+    order = np.lexsort((joined[3], joined[2], joined[0]))
+    return tuple(x[order] for x in joined)
+
+
+_SPANS = pa.schema([("doc_id", pa.int64()), ("start_word", pa.int32()), ("end_word", pa.int32()), ("src_id", pa.int64()), ("src_word", pa.int32()), ("n_factors", pa.int32())])
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spans of each document; its matches come one after the other, and no two documents' at once."""
+    held: list[pa.RecordBatch] = []
+
+    def joined() -> pa.RecordBatch:
+        doc, start, end, src, shift = (np.concatenate([np.asarray(b.column(k)) for b in held]).astype(np.int64) for k in range(5))
+        m = matches(start, end, src, shift)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[: len(m[0])], *m)], names=["doc_id", "start", "end", "src_id", "shift"])
+
+    def close() -> list[tuple]:
+        doc, start, end, src, shift = (np.asarray(c) for c in joined().columns)
+        held.clear()
+        rows: list[list[int]] = []
+        for a, b, k in parse(start, end, src, shift):
+            if rows and rows[-1][2] == a:
+                rows[-1][2], rows[-1][5] = b, rows[-1][5] + 1
+            else:
+                rows.append([int(doc[0]), a, b, int(src[k]), a + int(shift[k]), 1])
+        return rows
+
+    done: list[tuple] = []
+    size, limit = 0, HELD
+    for batch in batches:
+        ids = np.asarray(batch.column(0))
+        edge = [0, *(np.flatnonzero(ids[1:] != ids[:-1]) + 1).tolist(), len(ids)]
+        for lo, hi in zip(edge, edge[1:]):
+            if hi == lo:
+                continue
+            if held and held[0].column(0)[0].as_py() != ids[lo]:
+                done += close()
+                size, limit = 0, HELD
+            held.append(batch.slice(lo, hi - lo))
+            size += hi - lo
+            if size > limit:  # rows that repeat one doc_id bring its matches again and again
+                held[:] = [joined()]
+                size = held[0].num_rows
+                limit = max(HELD, 2 * size)
+        if len(done) > 1 << 16:
+            yield C.batch_of(_SPANS, *zip(*done))
+            done = []
+    if held:
+        done += close()
+    if done:
+        yield C.batch_of(_SPANS, *zip(*done))
+
+
 def spans(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, start_word, end_word, src_id, src_word): duplicate spans, and where the first piece of each comes from."""
-    long = pieces(docs, min_words, anchor)
-    order = Window.partitionBy("doc_id").orderBy("start", F.desc("end"), "src_id", "shift")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    island = F.sum((F.col("start") > F.coalesce(before, F.lit(-1))).cast("int")).over(order)
-    first = F.min(F.struct("start", (-F.col("end")).alias("e"), "src_id", "shift"))
-    return (
-        long.withColumn("island", island).groupBy("doc_id", "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), first.alias("f"))
-        .select("doc_id", "start_word", "end_word", F.col("f.src_id").alias("src_id"), (F.col("f.start") + F.col("f.shift")).alias("src_word"))
-    )
+    """(doc_id, start_word, end_word, src_id, src_word, n_factors): duplicate spans, where the first factor of each comes
+    from, and how many factors make it up."""
+    found = pieces(docs, min_words, anchor).select("doc_id", "start", "end", "src_id", "shift")
+    return found.repartition("doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(_parsed, "doc_id long, start_word int, end_word int, src_id long, src_word int, n_factors int")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return spans(table(spark, sf_dir, "documents"))
