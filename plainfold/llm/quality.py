@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
 MIN_CHARS, MIN_WORDS = 100, 60
@@ -159,7 +161,7 @@ def verdict(refs, min_chars=MIN_CHARS, min_words=MIN_WORDS, char_limit=(CHAR_BAS
         keep = ~((by_char & far[0]) | (by_word & far[1]))
         return pa.StructArray.from_arrays([pa.array(chars), pa.array(words.astype(np.int64)), pa.array(cd), pa.array(wd), pa.array(by_char | by_word), pa.array(keep)], names=[f.name for f in _VERDICT])
 
-    return judged.asNondeterministic()
+    return C.once(judged)
 
 
 def _inputs(row: str):
@@ -179,7 +181,7 @@ def keep_good(docs: DataFrame, **limits) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     return judge(docs).where("keep").select("doc_id", F.round("char_distance", 3).alias("char_distance"), F.round("word_distance", 3).alias("word_distance"), "judged")
 
 

@@ -8,7 +8,8 @@ before it. Both give exactly the identifiers that the model's own library gives.
 byte pieces, or the unknown piece in a model without them.
 
 Defined results: a null text gives null, an empty one no identifiers. The character U+2581, which stands for a space in
-pieces, comes back as a space; ``round_trip`` is false then. New columns replace columns of the same names.
+pieces, comes back as a space; ``round_trip`` is false then. New columns replace columns of the same names. Identifiers
+that the model doesn't have, and null ones, are decoded as U+FFFD.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -268,6 +271,8 @@ class Codec:
 
     def decode(self, ids) -> str:
         out = self.out
+        if not all(i is not None and 0 <= i < len(out) for i in ids):
+            ids, out = [i if i is not None and 0 <= i < len(out) else len(out) for i in ids], [*out, "\ufffd".encode()]
         text = b"".join([out[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
@@ -308,7 +313,7 @@ def coder(path: str = MODEL):
         lists = pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(null) if null.any() else None)
         return pa.StructArray.from_arrays([lists, pa.array(np.maximum(n, 0).astype(np.int32), mask=null), pa.array(same, pa.bool_())], fields=list(_CODED))
 
-    return F.arrow_udf(coded, "ids array<int>, n_tokens int, round_trip boolean").asNondeterministic()
+    return C.once(F.arrow_udf(coded, "ids array<int>, n_tokens int, round_trip boolean"))
 
 
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
@@ -331,4 +336,4 @@ def decode(coded: DataFrame, path: str = MODEL) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "ids", "n_tokens", "round_trip")
+    return encode(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "ids", "n_tokens", "round_trip")

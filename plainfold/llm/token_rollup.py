@@ -6,7 +6,8 @@ batch is a folder of its own name; it counts once its commit marker stands there
 so a job that is killed and started again gives the same totals. Totals are the sum over committed batches.
 
 Defined results: null sources, languages and texts count as ''; a null count as 0. Every row of a batch counts, repeated
-rows as often as they stand there. Groups without documents and tokens are left out. An unknown kind of change fails.
+rows as often as they stand there. Groups without documents and tokens are left out. An unknown kind of change fails. In
+the query, a document labelled twice is poor if any label says so, toxic likewise, and retracted once; null labels say nothing.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
 RANKS, PATTERN_OF = "/opt/tokenizers/byte_bpe_50k.tiktoken", "public_tokenizers"
@@ -104,14 +107,14 @@ class Rollup:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Load all documents, take out those labelled as poor, recount toxic ones with an end-of-text token, load again."""
-    counts = C.materialise(counted(spark.read.parquet(f"{sf_dir}/documents.parquet")), "token-counts")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
+    counts = C.materialise(counted(table(spark, sf_dir, "documents")), "token-counts")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     none = F.lit(None).cast("long").alias("old_tokens")
     labelled = counts.join(labels, "doc_id")
     load = counts.select(F.lit("insert").alias("change"), *BY, "n_tokens", none)
     rollup = Rollup(spark, C.work_path(spark, "rollup"))
     rollup.commit("load", load)
     rollup.commit("retract", labelled.where("quality = 0").select(F.lit("delete").alias("change"), *BY, "n_tokens", none))
-    rollup.commit("recount", labelled.where("quality <> 0 and toxic = 1").select(F.lit("revise").alias("change"), *BY, (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens")))
+    rollup.commit("recount", labelled.where("coalesce(quality, 1) <> 0 and toxic = 1").select(F.lit("revise").alias("change"), *BY, (F.col("n_tokens") + 1).alias("n_tokens"), F.col("n_tokens").alias("old_tokens")))
     rollup.commit("load", load)
     return rollup.totals()
