@@ -531,6 +531,8 @@ def reflow(text: str | None, options: Options = Options()) -> str | None:
     """The text reflowed: passes until one changes nothing (at most four), and the source if it would render differently."""
     if text is None:
         return None
+    if not options.settle:
+        return _pass(text, options)
     now = text
     for _ in range(4):
         new = _pass(now, options)
@@ -539,7 +541,7 @@ def reflow(text: str | None, options: Options = Options()) -> str | None:
         now = new
     else:
         return text
-    return now if now == text or rendered(now) == rendered(text) else text
+    return now if now == text or not options.render_check or rendered(now) == rendered(text) else text
 
 
 def explain(text: str | None, options: Options = Options()) -> list[tuple[int, int, str]]:

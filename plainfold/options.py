@@ -23,6 +23,8 @@ class Options:
     abbreviations: tuple[str, ...] = field(default=ABBREVIATIONS)
     segmenter: Callable[[str], list[tuple[int, int]]] | None = None
     width_floor: bool = True  # tests of narrow widths turn it off
+    settle: bool = True  # off: one pass, whatever a second would do
+    render_check: bool = True  # off: take the result even if it renders differently
 
     def __post_init__(self):
         if self.mode not in MODES:

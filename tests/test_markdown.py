@@ -232,6 +232,21 @@ def test_reasons_that_only_a_broken_scan_gives():
     assert kernel.explain("| a | b |\n|---|---|\n| 1 | 2 |\n=\nx\n") == [(4, 5, "table-adjacency")]
 
 
+def test_switches():
+    text = "!*  \n0*\n"  # a break written as a backslash lets the emphasis open
+    assert kernel.reflow(text) == text != kernel.reflow(text, Options(render_check=False))
+    one = kernel.reflow("One. Two.\n", Options(settle=False))
+    assert one == kernel._pass("One. Two.\n", Options()) == "One.\nTwo.\n"
+
+
+@pytest.mark.parametrize("text", ["!!! ev BX1201\n", "!!!  ev BX1201\n", "!!!\tev BX1201\n", "0 \\\r\r\n:::", "* [X]  \n0", "1. - x y z. A b c.\n\n      Q r s. T u v.\n"])
+@pytest.mark.parametrize("dialect", ["gfm", "mkdocs"])
+def test_one_pass_is_enough(text, dialect):
+    o = Options("wrap", dialect, 7, width_floor=False, settle=False)
+    once = kernel.reflow(text, o)
+    assert kernel.reflow(once, o) == once
+
+
 def test_rendering():
     out = lambda t: kernel.rendered(t)
     assert out("*a **b** c* `x  y` [l](u \"t\") <i> \\* &amp; &#96;\n") == "<p><em>a <strong>b</strong> c</em> <code>x y</code> <link (u &quot;t&quot;)>l</link> <i> * &amp; `</p>"
