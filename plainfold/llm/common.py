@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def once(udf):
+    """A function of the text that is planned as if it weren't deterministic, though it is: else the optimizer pushes a
+    filter on its result below the projection, and evaluates it there and again above."""
+    return udf.asNondeterministic()
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """The whole row as one struct column, so that no column name can clash with ours."""
     return docs.select(F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]).alias("row"))
@@ -51,6 +60,63 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("row.*")
 
 
+BUCKETS = 4096  # folders that a set of places is written to, by file
+_PLAIN_PLANS = {"Project", "Filter", "SubqueryAlias", "View", "Repartition", "RepartitionByExpression", "LogicalRelation"}
+
+
+def _is_scan(docs: DataFrame) -> bool:
+    """Whether each row of docs is one row of a Parquet file, and no other row is the same one."""
+    plan = docs._jdf.queryExecution().analyzed()
+    while True:
+        name = plan.getClass().getSimpleName()
+        if name not in _PLAIN_PLANS:
+            return False
+        if name == "LogicalRelation":
+            return plan.relation().toString() == "parquet"
+        plan = plan.children().head()
+
+
+def placed(docs: DataFrame, name: str) -> DataFrame:
+    """(row, at): the whole row, and where it stands: its file, and its number there. What is no table yet is written as one."""
+    if not _is_scan(docs):
+        docs = materialise(docs, name)
+    cols = [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+    meta = docs.metadataColumn("_metadata")
+    return docs.select(F.struct(*cols).alias("row"), F.struct(meta["file_path"].alias("file"), meta["row_index"].alias("n")).alias("at"))
+
+
+def without(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
+    """rows (row, at) but those at ``places`` (at), unpacked. No row moves: the places are written out by file, and each
+    task reads those of the files that it has, which are no more than the rows of these."""
+    path = work_path(rows.sparkSession, name)
+    bucket = lambda file: F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
+    gone = places.select(bucket(F.col("at.file")).alias("bucket"), F.col("at.file").alias("file"), F.col("at.n").alias("n"))
+    gone.repartition("bucket").sortWithinPartitions("bucket", "file", "n").write.partitionBy("bucket").parquet(path)
+
+    @F.arrow_udf("boolean")
+    def kept(file: pa.Array, n: pa.Array, which: pa.Array) -> pa.Array:
+        d = file.dictionary_encode()
+        codes, at, buckets = np.asarray(d.indices), np.asarray(n), np.asarray(which)
+        out = np.ones(len(codes), bool)
+        for i, f in enumerate(d.dictionary.to_pylist()):
+            mine = np.flatnonzero(codes == i)
+            known = _places(path, f, int(buckets[mine[0]]))
+            if len(known):
+                k = np.minimum(np.searchsorted(known, at[mine]), len(known) - 1)
+                out[mine] = known[k] != at[mine]
+        return pa.array(out)
+
+    return unpacked(rows.where(kept(F.col("at.file"), F.col("at.n"), bucket(F.col("at.file")))))
+
+
+@lru_cache(maxsize=4)
+def _places(path: str, file: str, bucket: int) -> np.ndarray:
+    fs, base = pafs.FileSystem.from_uri(path if "://" in path or not path.startswith("/") else "file://" + path)
+    found = fs.get_file_info(pafs.FileSelector(f"{base}/bucket={bucket}", allow_not_found=True))
+    parts = [pq.read_table(f.path, filesystem=fs, columns=["n"], filters=[("file", "=", file)], partitioning=None).column(0).to_numpy() for f in found if f.path.endswith(".parquet")]
+    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+
+
 def doc_text(docs: DataFrame) -> DataFrame:
     """Just (doc_id, text), whatever else the table holds."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -16,9 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 16384
@@ -100,7 +102,7 @@ def recipe(bad: frozenset[bytes], bits: int = 128):
                 out.append(b"".join(parts) if ok else None)
         return pa.array(out, pa.binary())
 
-    return made.asNondeterministic()
+    return C.once(made)
 
 
 def find_copies(docs: DataFrame, bits: int = 128) -> DataFrame:
@@ -113,16 +115,17 @@ def find_copies(docs: DataFrame, bits: int = 128) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, bits: int = 128) -> DataFrame:
-    """docs without the rows whose text an earlier doc_id has."""
+    """docs without the rows whose text an earlier doc_id has. Only chunks move, and recipes; no whole row does."""
     made = recipe(shared_keys(docs, bits), bits)
-    rows = C.packed(docs).withColumn("recipe", made(F.col("row.text").cast("string")))
-    rows = rows.withColumn("alone", F.when(F.col("recipe").isNull(), F.monotonically_increasing_id()))
-    first = Window.partitionBy("recipe", "alone").orderBy(F.col("row.doc_id").asc_nulls_last())
-    return C.unpacked(rows.withColumn("nth", F.row_number().over(first)).where("nth = 1"))
+    rows = C.placed(docs, "exact-docs")
+    found = C.materialise(rows.select("at", F.col("row.doc_id").alias("doc_id"), made(F.col("row.text").cast("string")).alias("recipe")).where("recipe is not null"), "recipes")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
+    groups = found.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    return C.without(rows, found.join(groups, "recipe").where("at <> first.at").select("at"), "exact-gone")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return find_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return find_copies(table(spark, sf_dir, "documents"))
 
 
 ORACLE = """select doc_id, keep_id, n_copies from (select doc_id, min(doc_id) over (partition by text) as keep_id,

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plainfold.sources.tables import table
+
 from . import common as C
 
 SEED, BLOCK_TOKENS, SHARD_TOKENS = 17, 8192, 1 << 23
@@ -114,18 +116,19 @@ def _chosen(blocks: DataFrame, weights: dict, other, seed: int, seats: int | Non
     return ranked.join(q, ["_source", "_shard"]).where("_nth <= _quota").select("_source", "_shard", "_block")
 
 
-def _mixed(rows: DataFrame, prefix: str, weights: dict, other, block_tokens: int, shard_tokens: int, seed: int, tokens: int | None) -> DataFrame:
-    """rows that fall into chosen blocks, with _source, _shard, _block and _tokens."""
-    light = C.materialise(_sized(rows.select(F.struct(*[F.col(f"{prefix}{c}").alias(c) for c in ("doc_id", "source", "text")]).alias("_in")), "_in.", seed).select("_source", "_tokens", "_order"), "mix-sizes")
-    total = light.agg(F.sum("_tokens")).first()[0] or 0
-    blocks = C.materialise(_blocks(light, total, block_tokens, shard_tokens).select("_source", "_shard", "_block").distinct(), "mix-blocks")
-    chosen = _chosen(blocks, weights, other, seed, _seats(tokens, block_tokens))
-    return _blocks(_sized(rows, prefix, seed), total, block_tokens, shard_tokens).join(chosen, ["_source", "_shard", "_block"], "left_semi")
+def mix(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED, tokens: int | None = None) -> DataFrame:
+    """The rows of docs that the mixture takes, with all their columns. Sizes move, no row does."""
+    rows = C.placed(docs, "mix-docs")
+    light = C.materialise(_sized(rows, "row.", seed).select("at", "_source", "_tokens", "_order"), "mix-sizes")
+    blocks, chosen = _blocks_chosen(light, WEIGHTS if weights is None else weights, other, block_tokens, shard_tokens, seed, tokens)
+    return C.without(rows, blocks.join(chosen, ["_source", "_shard", "_block"], "left_anti").select("at"), "mix-gone")
 
 
-def mix(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED, tokens: int | None = None) -> DataFrame:
-    """The rows of docs that the mixture takes, with all their columns."""
-    return C.unpacked(_mixed(C.packed(docs), "row.", WEIGHTS if weights is None else weights, other, block_tokens, shard_tokens, seed, tokens))
+def _blocks_chosen(light: DataFrame, weights: dict, other, block_tokens: int, shard_tokens: int, seed: int, tokens: int | None) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``light`` with their blocks, and the blocks that the mixture takes."""
+    total = light.agg(F.sum("_tokens")).first()[0] or 0
+    placed = C.materialise(_blocks(light, total, block_tokens, shard_tokens), "mix-placed")
+    return placed, _chosen(placed.select("_source", "_shard", "_block").distinct(), weights, other, seed, _seats(tokens, block_tokens))
 
 
 def plan(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block_tokens=BLOCK_TOKENS, shard_tokens=SHARD_TOKENS, seed=SEED, tokens: int | None = None) -> DataFrame:
@@ -133,9 +136,7 @@ def plan(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, block
     rows = docs.select(F.struct("doc_id", "source", "text").alias("row"))
     sized = _sized(rows, "row.", seed).select(F.col("row.doc_id").alias("doc_id"), "_source", "_tokens", "_order")
     light = C.materialise(sized, "mix-sizes")
-    total = light.agg(F.sum("_tokens")).first()[0] or 0
-    placed = C.materialise(_blocks(light, total, block_tokens, shard_tokens), "mix-placed")
-    chosen = _chosen(placed.select("_source", "_shard", "_block").distinct(), WEIGHTS if weights is None else weights, other, seed, _seats(tokens, block_tokens))
+    placed, chosen = _blocks_chosen(light, WEIGHTS if weights is None else weights, other, block_tokens, shard_tokens, seed, tokens)
     return placed.join(chosen, ["_source", "_shard", "_block"], "left_semi").select("doc_id", F.col("_source").alias("source"), F.col("_shard").alias("shard"), F.col("_block").alias("block"), F.col("_tokens").alias("tokens"))
 
 
@@ -152,12 +153,12 @@ def shares(docs: DataFrame, weights: dict | None = None, other=OTHER_WEIGHT, blo
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return plan(table(spark, sf_dir, "documents"))
 
 
 def query_whole(spark, sf_dir: str) -> DataFrame:
     """As query, but the whole corpus is the budget, however scarce a source is."""
-    return plan(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokens=WHOLE)
+    return plan(table(spark, sf_dir, "documents"), tokens=WHOLE)
 
 
 def _oracle() -> str:

@@ -9,7 +9,7 @@ byte pieces, or the unknown piece in a model without them.
 
 Defined results: a null text gives null, an empty one no identifiers. The character U+2581, which stands for a space in
 pieces, comes back as a space; ``round_trip`` is false then. New columns replace columns of the same names. Identifiers
-that the model doesn't have, and null ones, are decoded as U+FFFD.
+that the model doesn't have, and null ones, are decoded as U+FFFD. A model that normalises gives back the normalised text.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from plainfold.sources.tables import table
 
 from . import common as C
+from .normalise import Normaliser, charsmap
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -40,9 +41,13 @@ def load(path: str) -> dict:
     m = pb.ModelProto()
     with open(path, "rb") as f:
         m.ParseFromString(f.read())
-    if m.normalizer_spec.precompiled_charsmap or m.normalizer_spec.remove_extra_whitespaces or m.normalizer_spec.escape_whitespaces is False:
-        raise ValueError("only models with identity normalisation are supported")
-    return {"pieces": [p.piece for p in m.pieces], "scores": [p.score for p in m.pieces], "types": [p.type for p in m.pieces], "unigram": m.trainer_spec.model_type == 1, "prefix": m.normalizer_spec.add_dummy_prefix}
+    spec = m.normalizer_spec
+    if m.trainer_spec.model_type not in (1, 2) or m.trainer_spec.treat_whitespace_as_suffix or not spec.escape_whitespaces:
+        raise ValueError("only unigram and BPE models that write spaces before words are supported")
+    return {
+        "pieces": [p.piece for p in m.pieces], "scores": [p.score for p in m.pieces], "types": [p.type for p in m.pieces], "unigram": m.trainer_spec.model_type == 1,
+        "prefix": spec.add_dummy_prefix, "squeeze": spec.remove_extra_whitespaces, "charsmap": spec.precompiled_charsmap,
+    }
 
 
 class Automaton:
@@ -91,11 +96,18 @@ class Codec:
     def __init__(self, model: dict):
         self.pieces, self.scores, types = model["pieces"], model["scores"], model["types"]
         self.unigram, self.prefix = model["unigram"], model["prefix"]
-        self.normal = {p: i for i, (p, t) in enumerate(zip(self.pieces, types)) if t in (1, 4)}
+        own = {p: i for i, (p, t) in enumerate(zip(self.pieces, types)) if t == 4}
+        self.normal = {p: i for i, (p, t) in enumerate(zip(self.pieces, types)) if t == 1 or t == 4 and self.unigram}
+        if self.unigram and own:  # a user's own pieces win over any path
+            top = max((self.scores[i] for i in self.normal.values() if types[i] == 1), default=0.0)
+            self.scores = [len(p) * top - 0.1 if t == 4 else x for p, x, t in zip(self.pieces, self.scores, types)]
+        #: in a BPE model they are cut out before anything is merged
+        self.own = None if self.unigram or not own else (own, re.compile("(" + "|".join(map(re.escape, sorted(own, key=len, reverse=True))) + ")"))
+        self.normalise = Normaliser(charsmap(model.get("charsmap", b"")), self.prefix, model.get("squeeze", False), [p.replace(SPACE, " ") for p in own])
         self.automaton = Automaton(self.normal)
         self.unk = next((i for i, t in enumerate(types) if t == 2), 0)
         self.bytes = {int(p[1:-1], 16): i for i, (p, t) in enumerate(zip(self.pieces, types)) if t == 6}
-        self.unk_score = min((self.scores[i] for i in self.normal.values()), default=0) - 10
+        self.unk_score = min((self.scores[i] for i in self.normal.values() if types[i] == 1), default=0) - 10
         self.alphabet = {p for p in self.normal if len(p) == 1}
         joint = any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.normal)
         apart = "".join(c for c in "\n\t\r" if not any(c in p for p in self.normal))
@@ -259,9 +271,14 @@ class Codec:
         return ids
 
     def encode(self, text: str) -> list[int]:
-        if not text:
+        t = self.normalise(text)
+        if not t:
             return []
-        t = (SPACE if self.prefix else "") + text.replace(" ", SPACE)
+        if self.own is None:
+            return self.piecewise(t)
+        return [i for k, part in enumerate(self.own[1].split(t)) for i in ([self.own[0][part]] if k % 2 else self.piecewise(part) if part else [])]
+
+    def piecewise(self, t: str) -> list[int]:
         if self.cut is None:
             return self.segment(t)
         get, word = self.young.get, self.word

@@ -24,7 +24,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plainfold.sources.tables import table
@@ -123,7 +123,7 @@ def _printed(text: pa.Array) -> pa.Array:
 
 def printed(text):
     """Column: the fingerprint of a text."""
-    return (F.arrow_udf(_printed, "a long, b long, kind byte, node long").asNondeterministic())(text)
+    return C.once(F.arrow_udf(_printed, "a long, b long, kind byte, node long"))(text)
 
 
 # --- choice of partitions and thresholds -------------------------------------------------------------------------
@@ -489,17 +489,13 @@ def find_near(docs: DataFrame, tau: int = TAU, wide: int = WIDE_TAU) -> DataFram
 
 
 def drop_near(docs: DataFrame, tau: int = TAU, wide: int = WIDE_TAU) -> DataFrame:
-    """docs with one row of each group."""
-    rows = C.packed(docs).withColumn("p", printed(F.col("row.text").cast("string")))
-    prints = C.materialise(rows.select(F.col("row.doc_id").alias("doc_id"), "p.*").where("kind > 0"), "prints")
-    labels = components(near_edges(prints, tau, wide))
-    first = prints.join(labels, "node").groupBy("label", "node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "node")).alias("least"))
-    best = first.groupBy("label").agg(F.min("least").alias("best"))
-    losers = first.join(best, "label").where("not (best.node <=> node)").select("node")
-    rows = rows.withColumn("node", F.when(F.col("p.kind") > 0, F.col("p.node"))).withColumn("alone", F.when(F.col("node").isNull(), F.monotonically_increasing_id()))
-    rows = rows.drop("p").join(losers, "node", "left_anti")
-    first_row = Window.partitionBy("node", "alone").orderBy(F.col("row.doc_id").asc_nulls_last())
-    return C.unpacked(rows.withColumn("nth", F.row_number().over(first_row)).where("nth = 1"))
+    """docs with one row of each group. Fingerprints move, no row does."""
+    rows = C.placed(docs, "near-docs")
+    prints = C.materialise(rows.select("at", F.col("row.doc_id").alias("doc_id"), printed(F.col("row.text").cast("string")).alias("p")).select("at", "doc_id", "p.*").where("kind > 0"), "prints")
+    grouped = C.materialise(prints.join(components(near_edges(prints, tau, wide)), "node", "left").select("at", "doc_id", F.coalesce("label", "node").alias("group")), "near-groups")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
+    groups = grouped.groupBy("group").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
+    return C.without(rows, grouped.join(groups, "group").where("at <> first.at").select("at"), "near-gone")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,7 +1,10 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
+from plainfold.llm import common as C
 from plainfold.llm import exact_dedup as E
 from plainfold.llm import simhash as S
 from plainfold.llm import substring as R
@@ -67,6 +70,22 @@ def test_exact_copies_match_equality(spark, sf_dir):
     assert kept == sorted(min(ids) for ids in by.values())
 
 
+def test_rows_are_left_out_by_their_place(spark, tmp_path):
+    rows = [(i, "x" * i, None if i % 3 else "m", "r") for i in range(200)]
+    docs = spark.createDataFrame(rows, "id int, _metadata string, at string, row string").repartition(7)
+    docs.write.option("parquet.block.size", 512).parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    once, same, none = (read, False), (read.unionAll(read), True), (read.limit(0), True)
+    for table, copied in (once, (read.where("id < 90").select("id", "at").repartition(3), False), same, none, (read.selectExpr("id", "explode(array(1, 2)) as k"), True)):
+        assert C._is_scan(table) != copied
+        p = C.placed(table, "placed")
+        gone = p.where("row.id % 5 = 0").select("at")
+        want = sorted(map(repr, table.where("id % 5 <> 0").collect()))
+        left = C.without(p, gone, "gone")
+        assert left.columns == table.columns and sorted(map(repr, left.collect())) == want
+        assert sorted(map(repr, C.without(p, gone.limit(0), "gone").collect())) == sorted(map(repr, table.collect()))
+
+
 def test_exact_copies_of_odd_rows(odd_docs, no_docs):
     kept = E.drop_copies(odd_docs)
     assert kept.columns == odd_docs.columns
@@ -101,21 +120,64 @@ def test_thresholds_are_optimal_and_sufficient():
     assert abs(c[2] - (rows * S.ROW_COST + near * S.PAIR_COST)) < 1e-9
 
 
-def test_probing_with_higher_thresholds(spark):
+@pytest.mark.parametrize(("partitions", "block"), [((3,), S.BLOCK), ((3,), 7), ((4,), 50), ((5,), 3), ((8,), 64), (S.PARTITIONS, 1)])
+def test_every_partition_and_split_finds_all_pairs(spark, partitions, block):
+    """Copies at the very radius, and nearly all fingerprints in one bucket of each partition."""
     g = np.random.default_rng(5)
-    a = g.integers(0, 1 << 63, 400, dtype=np.int64)
-    flips = np.array([sum(1 << int(k) for k in g.choice(64, S.TAU, replace=False)) for _ in range(400)], np.uint64).view(np.int64)
+    base = g.integers(0, 1 << 63, 1, dtype=np.int64)
+    few = np.array([sum(1 << int(k) for k in g.choice(63, int(g.integers(0, 4)), replace=False)) for _ in range(250)], np.int64)
+    a = np.concatenate([base ^ few, g.integers(0, 1 << 63, 150, dtype=np.int64)])
+    flips = np.array([sum(1 << int(k) for k in g.choice(63, S.TAU, replace=False)) for _ in range(len(a))], np.int64)
     a = np.concatenate([a, a ^ flips])
-    b = np.concatenate([g.integers(0, 1 << 63, 400, dtype=np.int64)] * 2)
-    import pyarrow as pa
+    b = np.concatenate([g.integers(0, 1 << 63, len(flips), dtype=np.int64)] * 2)
+    rows = [(i, int(x), int(y), 2) for i, (x, y) in enumerate(zip(a, b))]
+    prints = spark.createDataFrame(rows, "doc_id long, a long, b long, kind byte")
+    node = S.node_of(a.view(np.uint64), b.view(np.uint64)).tolist()
+    of = groups([(r.u, r.v) for r in S.near_edges(prints, partitions=partitions, block=block).collect()] + [(x, x) for x in node])
+    want = {i: keep for i, keep, _ in brute_near(rows)}
+    got: dict = {}
+    for i, x in enumerate(node):
+        got.setdefault(of[x], []).append(i)
+    assert {i: min(c) for c in got.values() if len(c) > 1 for i in c} == want and len(want) == len(rows)
+
+
+def test_a_radius_out_of_reach_is_refused(spark):
+    unique = spark.createDataFrame([(1, 2)], "a long, b long")
+    with pytest.raises(ValueError, match="tau 40"):
+        S.scheme(unique, 40)
+    assert S.scheme(unique, 31)[0] and S.scheme(unique, 0)[0]
+
+
+def test_sizes_of_buckets(spark):
+    g = np.random.default_rng(2)
+    v = g.integers(0, 256, 300)
+    bits, t = list(range(8)), 2
+    filed = np.concatenate([bucket for _, bucket, _ in S._filings(v.astype(np.uint64), [(bits, t)])])
+    assert S.filed_sizes(np.bincount(v, minlength=256), t).tolist() == np.bincount(filed, minlength=256).tolist()
+
+
+def test_texts_without_spaces(spark):
+    import random
 
-    for parts in ([(list(range(k * 16, k * 16 + 16)), 2) for k in range(4)],):
-        batches = list(S._filed(parts)([pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])]))
-        t = pa.Table.from_batches(batches).sort_by([("bucket", "ascending"), ("cleared", "ascending")])
-        edges = pa.Table.from_batches(list(S._verified({i: 2 for i in range(4)}, S.TAU, S.WIDE_TAU)(t.to_batches(max_chunksize=97))))
-        node = S.node_of(a.view(np.uint64), b.view(np.uint64))
-        of = groups(zip(edges.column(0).to_pylist(), edges.column(1).to_pylist()))
-        assert all(of[x] == of[y] for x, y in zip(node[:400].tolist(), node[400:].tolist()))
+    r = random.Random(6)
+    made = lambda n: "".join(chr(r.randint(0x4E00, 0x9000)) for _ in range(n))
+    one, two = made(600), made(600)
+    rows = [(1, one), (2, one[:300] + "中" + one[301:]), (3, two), (4, made(40)), (5, made(2))]
+    assert sorted(map(tuple, S.find_near(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == [(1, 1, 2), (2, 1, 2)]
+    words = pa.array(["é" * 3, "日本語学校" * 4, "x" * 40], pa.large_binary())
+    h, row = S._grams(words, np.array([0, 0, 1]), np.array([False, True, True]))
+    assert len(h) == 18 + 38 and len(set(h.tolist())) == 5 + 1 and row.tolist() == [0] * 18 + [1] * 38
+
+
+def test_costs_of_a_wide_partition_are_estimated():
+    """A histogram of some bits and the frequencies of others, against the whole histogram of independent bits."""
+    g = np.random.default_rng(8)
+    p = g.uniform(0.2, 0.8, 14)
+    bits = g.random((60_000, 14)) < p
+    whole, n = np.unique(bits @ (1 << np.arange(14)), return_counts=True)
+    part, k = np.unique(bits[:, :9] @ (1 << np.arange(9)), return_counts=True)
+    want, got = S.costs(whole, n, 14), S.costs(part, k, 9, p[9:].tolist())
+    assert all(abs(x - y) <= 0.05 * x for x, y in zip(want, got))
 
 
 def test_near_copies_of_odd_rows(odd_docs, no_docs):
@@ -166,7 +228,50 @@ def test_spans_match_all_windows(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     want = brute_spans([(r.doc_id, r.text) for r in docs.collect()], R.MIN_WORDS)
     got = {(r.doc_id, x) for r in R.spans(docs).collect() for x in range(r.start_word, r.end_word)}
-    assert got <= want and len(got) >= 0.99 * len(want) and want
+    assert got == want and want
+
+
+def test_growing_prefixes(spark):
+    """Documents that share ever longer prefixes: all of a passage is found, however few documents have its end."""
+    import random
+
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    shared = [word() for _ in range(70)]
+    rows = [(i, " ".join(shared[: 26 + i] + [word() for _ in range(40)])) for i in range(34)]
+    got = {(s.doc_id, x) for s in R.spans(spark.createDataFrame(rows, "doc_id long, text string")).collect() for x in range(s.start_word, s.end_word)}
+    assert got == brute_spans(rows, R.MIN_WORDS) and (24, 0) in got and (33, 57) in got
+
+
+def plain_parse(start, end, src, shift):
+    """Greedy parse, place by place."""
+    out, at, last = [], 0, max(end, default=0)
+    while at < last:
+        held = [k for k in range(len(start)) if start[k] <= at < end[k]]
+        if not held:
+            at += 1
+            continue
+        k = min(held, key=lambda k: (-end[k], src[k], shift[k]))
+        out.append((at, end[k], k))
+        at = end[k]
+    return out
+
+
+def test_factors_are_the_greedy_parse():
+    import random
+
+    r = random.Random(5)
+    for _ in range(500):
+        rows = sorted({(r.randint(0, 30), r.randint(3, 9), r.randint(0, 2), r.randint(-1, 1)) for _ in range(r.randint(1, 12))})
+        start, n, src, shift = (np.array(x) for x in zip(*rows))
+        m = R.matches(start, start + n, src, shift)
+        assert R.parse(*m) == plain_parse(*(x.tolist() for x in m))
+        of = lambda a, b, s, d: {(s[k], d[k], x) for k in range(len(a)) for x in range(a[k], b[k])}
+        assert of(*m) == of(start, start + n, src, shift)
+        groups_ = {}
+        for a, b, s, d in zip(*m):
+            groups_.setdefault((s, d), []).append((a, b))
+        assert all(x[1] < y[0] for g in groups_.values() for x, y in zip(sorted(g), sorted(g)[1:]))  # as long as they can be
 
 
 def test_a_passage_in_other_surroundings(spark):

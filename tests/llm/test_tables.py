@@ -156,6 +156,20 @@ def test_rollup_query_by_hand(spark, sf_dir):
     assert {(r.source, r.lang): [r.tokens, r.docs] for r in R.query(spark, sf_dir).collect()} == want
 
 
+def test_rollup_of_documents_labelled_twice(spark, tmp_path, odd_docs):
+    odd_docs.write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(1, 1, 0), (1, 0, 0), (2, 1, 1), (2, None, 1), (8, None, 1), (9, None, None), (None, 0, 1), (77, 0, 0), (3, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    count = lambda t: len(R._encoder(R.RANKS).encode_ordinary(t)) if t else 0
+    want: dict = {}
+    for r in odd_docs.collect():
+        if r.doc_id not in (1, 3):
+            t = want.setdefault((r.source or "", r.lang or ""), [0, 0])
+            t[0] += count(r.text) + (r.doc_id in (2, 8))
+            t[1] += 1
+    assert {(r.source, r.lang): [r.tokens, r.docs] for r in R.query(spark, str(tmp_path)).collect()} == want
+
+
 def test_counts_of_odd_rows(odd_docs, no_docs):
     got = {r.doc_id: r for r in R.counted(odd_docs).collect()}
     assert got[4].n_tokens == 0 and got[6].n_tokens == 0 and got[8].lang == "" and got[9].source == "" and got[10].n_tokens > 1000

@@ -28,6 +28,49 @@ def test_bpe_identifiers_are_the_library_s(texts):
     assert codec.decode(codec.encode("a▁b")) == "a b"
 
 
+def normalising_model(rule, unigram, own=()):
+    """The installed pieces with a normaliser of the library's, and some pieces as a user's own."""
+    m, n = pb.ModelProto(), pb.ModelProto()
+    with open(P.MODEL, "rb") as f:
+        m.ParseFromString(f.read())
+    if rule:
+        n.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        m.normalizer_spec.CopyFrom(n.normalizer_spec)
+        m.normalizer_spec.add_dummy_prefix = True
+    m.trainer_spec.model_type = 1 if unigram else 2
+    for p in m.pieces:
+        if p.piece in own:
+            p.type = 4
+    return m
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc", "nmt_nfkc_cf", "nfkc_cf"])
+def test_normalisation_is_the_library_s(rule, texts):
+    library = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    spec = normalising_model(rule, False).normalizer_spec
+    ours = P.Normaliser(P.charsmap(spec.precompiled_charsmap), spec.add_dummy_prefix, spec.remove_extra_whitespaces)
+    for t in [*texts[:80], *ODD, "ｶﾞ ①　Ｈｅｌｌｏ  ﬁ  ", "e\u0301 \u00a0\u2003x", "Ünï ẞ ŉ", "\u200bа\u0300\ufeff"]:
+        assert ours(t) == library.normalize(t), t
+
+
+@pytest.mark.parametrize("own", [(), ("ing", "the", "▁a")])
+def test_models_with_normaliser_and_own_pieces(texts, tmp_path, own):
+    for unigram in (False, True):
+        m = normalising_model("nmt_nfkc", unigram, own)
+        path = tmp_path / "m.model"
+        path.write_bytes(m.SerializeToString())
+        library = sentencepiece.SentencePieceProcessor(model_file=str(path))
+        codec = P.Codec(P.load(str(path)))
+        for t in [*texts[:60], *ODD, "sing the things, ｔｈｅ thing  athe", " the"]:
+            if unigram:
+                t = " ".join(w for w in t.split() if all(c in codec.alphabet for c in w))[:400]
+                score = lambda ids: sum(codec.scores[i] for i in ids)
+                ours, theirs = codec.encode(t), library.encode(t)
+                assert score(theirs) - 1e-2 <= score(ours) <= score(theirs) + 1e-3 * abs(score(theirs)) and codec.decode(ours) == library.decode(theirs)
+            else:
+                assert codec.encode(t) == library.encode(t), t
+
+
 def test_unigram_paths_are_as_good_as_the_library_s(texts):
     m = pb.ModelProto()
     with open(P.MODEL, "rb") as f:
@@ -79,6 +122,12 @@ def test_encoding_of_odd_rows(odd_docs, no_docs):
     assert P.encode(no_docs).count() == 0
 
 
+def test_decoding_of_unknown_identifiers(spark):
+    rows = [(1, [None]), (2, [-1, 10**6]), (3, []), (4, None)]
+    got = {r.k: r.text for r in P.decode(spark.createDataFrame(rows, "k int, ids array<int>")).collect()}
+    assert got == {1: "\ufffd", 2: "\ufffd\ufffd", 3: "", 4: None}
+
+
 def test_quality_matches_sql(spark, sf_dir):
     con = duckdb.connect()
     con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
@@ -268,3 +317,55 @@ def test_secrets_in_documents(spark, network, odd_docs, no_docs):
     assert got == [(0, 2, 22, "AKIA"), (1, 11, 31, "AKIA"), (2, 2, 22, "AKIA"), (2, 25, 45, "AKIA"), (6, 200_014, 200_054, "0641")]
     assert X.scan(no_docs, network).count() == 0
     X.scan(odd_docs, network).collect()
+
+
+def plain_candidates(text):
+    """Candidates of a text by regular expressions over its characters."""
+    import re
+
+    name = r"(?:pass(?:word|wd|phrase|code)|(?<![A-Za-z])pass|pwd|secret|token|credentials?|(?:api|access|auth|private|signing|secret|encryption)[_-]?key)s?[\"']?"
+    values = [m.span(m.lastindex) for m in re.finditer(f"(?ai){name}" + r"[ \t]*(?::=|=>|[:=])[ \t]*(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"'<>,;]{6,}))", text)]
+    values = [(a, b) for a, b in values if len(text[a:b].encode()) >= 6]
+    runs = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text) if re.search("[0-9]|[A-Z].*[A-Z]", m.group())]
+    return sorted(values + [(a, b) for a, b in runs if not any(a < d and c < b for c, d in values)])
+
+
+def test_secrets_match_a_plain_scan(spark, network, sf_dir):
+    """The whole query against one candidate at a time, each padded by itself alone."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    findings = X.labelled_findings(300, seed=41)
+    more = [(10_000 + i, t.decode()) for i, (t, *_) in enumerate(findings)]
+    docs = docs.unionAll(spark.createDataFrame(more, docs.schema)).coalesce(3)
+    want = []
+    for r in docs.collect():
+        raw = r.text.encode()
+        for a, b in plain_candidates(r.text):
+            s, e = len(r.text[:a].encode()), len(r.text[:b].encode())
+            p = float(network.probability(network.raw([raw], [s], [e]))[0])
+            if p >= network.threshold:
+                want.append((r.doc_id, a, b, r.text[a : a + min(4, (b - a) // 4)], round(p, 3)))
+    got = [(r.doc_id, r.start, r.end, r.shown, round(r.score, 3)) for r in X.scan(docs, network).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 100
+
+
+@pytest.mark.parametrize("line", ['password = "hunter2Secret!"', "api_key=abcdEFGH1234", "token: qwertyuiopasdfghjklzxcvb", "password = Summer2024x", "db_password: correct-horse-battery-staple", '{"secret": "Xk29!fjQ"}'])
+def test_short_secrets_behind_a_name(spark, network, line):
+    docs = spark.createDataFrame([(1, f"some words here {line} and more"), (2, "the end of one token:"), (3, "abcdef begins another")], "doc_id long, text string").coalesce(1)
+    assert [r.doc_id for r in X.scan(docs, network).collect()] == [1]
+
+
+@pytest.mark.parametrize("line", ["password: required", "token = ${API_TOKEN}", "secret: ********", "pass = nothing", 'password = "your_password"', "the compass: north-northwest", "token: /etc/app/token.txt", "Password: forgotten?"])
+def test_placeholders_are_left_alone(network, line):
+    raw = f"some words here {line} and more".encode()
+    s, e, _ = X.candidates(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert not len(s) or network.probability(network.raw([raw] * len(s), s.tolist(), e.tolist())).max() < network.threshold
+
+
+def test_stored_weights_are_those_of_training(tmp_path):
+    few = X.labelled_findings(400, seed=3)
+    net = X.fitted(few)
+    X.save(net, tmp_path / "w.npz")
+    again = X.load(tmp_path / "w.npz")
+    text, start, end, _ = map(list, zip(*few[:50]))
+    assert (net.raw(text, start, end) == again.raw(text, start, end)).all() and again.threshold == net.threshold
+    assert X.WEIGHTS.stat().st_size < 200_000
