@@ -16,8 +16,10 @@ their own. A source of weight 0 gets nothing; an empty table gives an empty resu
 from __future__ import annotations
 
 from fractions import Fraction
+from heapq import heapify, heappop, heapreplace
 from math import floor
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,26 +39,36 @@ def apportion(weights: list, room: list[int], seats: int) -> list[int]:
     if seats <= 0:
         return [0] * len(weights)
     ws = [Fraction(w) for w in weights]
-
-    def at(d: Fraction) -> list[int]:
-        return [min(r, max(0, floor((w / d + 1) / 2))) if w > 0 else 0 for w, r in zip(ws, room)]
-
-    low, high = Fraction(0), 2 * max(ws) + 1  # at(high) gives no seat; at(low) would give all
-    while sum(at(mid := (low + high) / 2)) < seats:  # find some divisor that gives enough
+    size, room_left = np.array([float(w) for w in ws]), np.array(room, np.int64)
+
+    def at(d: float) -> np.ndarray:
+        """Seats whose quotients reach d; exact, as the few that lie close to d are counted in fractions."""
+        exact = (size / d + 1) / 2
+        got = np.floor(exact)
+        for i in np.flatnonzero((np.abs(exact - np.rint(exact)) <= 1e-9 * np.maximum(exact, 1)) & (size > 0)):
+            got[i] = floor((ws[i] / Fraction(d) + 1) / 2)
+        return np.where(size > 0, np.minimum(np.maximum(got, 0), room_left), 0).astype(np.int64)
+
+    low, high = 0.0, 2 * float(max(ws)) + 1  # at(high) gives no seat; at(low) would give all
+    while at(mid := (low + high) / 2).sum() < seats:  # find some divisor that gives enough
         high = mid
     low = mid
-    for _ in range(200):
-        if sum(at(high)) >= seats - len(ws):
-            break
+    while high - low > 1e-6 * high and at(high).sum() < seats - 64:
         mid = (low + high) / 2
-        if sum(at(mid)) <= seats:
+        if at(mid).sum() <= seats:
             high = mid
         else:
             low = mid
-    got = at(high)
-    while sum(got) < seats:  # the few that the divisor leaves
-        i = min((i for i in range(len(ws)) if got[i] < room[i] and ws[i] > 0), key=lambda i: (-ws[i] / (2 * got[i] + 1), i))
+    got = at(high).tolist()
+    nexts = [(-w / (2 * g + 1), i) for i, (w, g, r) in enumerate(zip(ws, got, room)) if w > 0 and g < r]
+    heapify(nexts)
+    for _ in range(seats - sum(got)):  # the few that the divisor leaves
+        i = nexts[0][1]
         got[i] += 1
+        if got[i] < room[i]:
+            heapreplace(nexts, (-ws[i] / (2 * got[i] + 1), i))
+        else:
+            heappop(nexts)
     return got
 
 

@@ -39,6 +39,16 @@ def test_apportionment_of_many_seats():
     assert got == [600_000_000, 200_000_000, 100_000_000]
 
 
+def test_apportionment_of_many_shards():
+    sizes = [900 + i * 7919 % 200 for i in range(30_000)]
+    for seats in (1, 29_999, 100_003):
+        assert M.apportion(sizes, sizes, seats) == by_quotients(sizes, sizes, seats)
+    got = M.apportion(sizes, sizes, 11_111_111)
+    taken, missed = min(Fraction(n, 2 * g - 1) for n, g in zip(sizes, got)), max(Fraction(n, 2 * g + 1) for n, g in zip(sizes, got) if g < n)
+    assert sum(got) == 11_111_111 and taken >= missed
+    assert M.apportion([7] * 30_000, [7] * 30_000, 70_001) == [3] * 10_001 + [2] * 19_999
+
+
 def test_mixture_matches_sql_in_many_shards(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(M, "BLOCK_TOKENS", 300)
     monkeypatch.setattr(M, "SHARD_TOKENS", 20_000)
