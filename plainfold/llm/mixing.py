@@ -8,7 +8,7 @@ gives all its blocks and the others the rest (WHOLE: every block of every source
 blocks that hold the target weights without using any twice, which the source scarcest against its weight decides.
 ``shares`` reports what of each source is taken, and how far that lies from its weight.
 
-Defined results: a null source is a source of its own, written ''. A null or empty text has no tokens and goes with the
+Defined results: a null source is a source of its own, written ''. A row without doc_id is placed by its text. A null or empty text has no tokens and goes with the
 block that it falls into. Ties between quotients go to the source (shard) that sorts first. Repeated rows are rows of
 their own. A source of weight 0 gets nothing; an empty table gives an empty result.
 """
@@ -73,7 +73,8 @@ def apportion(weights: list, room: list[int], seats: int) -> list[int]:
 
 
 def _sized(rows: DataFrame, prefix: str, seed: int) -> DataFrame:
-    text, doc = F.coalesce(F.col(f"{prefix}text").cast("string"), F.lit("")), F.coalesce(F.col(f"{prefix}doc_id").cast("string"), F.lit(""))
+    text, doc = F.coalesce(F.col(f"{prefix}text").cast("string"), F.lit("")), F.col(f"{prefix}doc_id").cast("string")
+    doc = F.coalesce(doc, F.md5(text.cast("binary")))  # rows without an id are spread over the shards too
     return rows.select(
         *rows.columns,
         F.coalesce(F.col(f"{prefix}source").cast("string"), F.lit("")).alias("_source"),
@@ -175,7 +176,7 @@ def query_whole(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     weight = "case " + " ".join(f"when source = '{s}' then {w}" for s, w in WEIGHTS.items()) + f" else {OTHER_WEIGHT} end"
-    return f"""with d as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) as tokens, md5('{SEED}:' || coalesce(doc_id::varchar, '')) as ord from documents),
+    return f"""with d as (select doc_id, coalesce(source, '') as source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t\\n\\r]+')) as tokens, md5('{SEED}:' || coalesce(doc_id::varchar, md5(coalesce(text, '')))) as ord from documents),
     s as (select *, ('0x' || substr(ord, 1, 8))::bigint % greatest(1, ceil((select sum(tokens) from d) / {SHARD_TOKENS}.0)::bigint) as shard from d),
     b as (select doc_id, source, shard, tokens, ((sum(tokens) over (partition by source, shard order by ord, tokens rows unbounded preceding) - tokens) // {BLOCK_TOKENS})::bigint as block from s),
     bl as (select distinct source, shard, block from b),
