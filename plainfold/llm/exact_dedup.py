@@ -111,7 +111,7 @@ def find_copies(docs: DataFrame, bits: int = 128) -> DataFrame:
     ids = docs.select(F.col("doc_id"), made(F.col("text").cast("string")).alias("recipe")).where("recipe is not null")
     ids = C.materialise(ids, "recipes")
     groups = ids.groupBy("recipe").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    return ids.join(groups, "recipe").select("doc_id", "keep_id", "n_copies")
+    return ids.join(C.materialise(groups, "copies"), "recipe").select("doc_id", "keep_id", "n_copies")
 
 
 def drop_copies(docs: DataFrame, bits: int = 128) -> DataFrame:
@@ -121,7 +121,7 @@ def drop_copies(docs: DataFrame, bits: int = 128) -> DataFrame:
     found = C.materialise(rows.select("at", F.col("row.doc_id").alias("doc_id"), made(F.col("row.text").cast("string")).alias("recipe")).where("recipe is not null"), "recipes")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
     groups = found.groupBy("recipe").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    return C.without(rows, found.join(groups, "recipe").where("at <> first.at").select("at"), "exact-gone")
+    return C.without(rows, found.join(C.materialise(groups, "copies"), "recipe").where("at <> first.at").select("at"), "exact-gone")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
