@@ -483,9 +483,9 @@ def find_near(docs: DataFrame, tau: int = TAU, wide: int = WIDE_TAU) -> DataFram
     """(doc_id, keep_id, n_copies) for each row of a group of two or more."""
     prints = C.materialise(docs.select(F.col("doc_id"), printed(F.col("text").cast("string")).alias("p")).select("doc_id", "p.*").where("kind > 0"), "prints")
     labels = components(near_edges(prints, tau, wide))
-    grouped = prints.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group"))
+    grouped = C.materialise(prints.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("group")), "near-groups")
     of = grouped.groupBy("group").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("n_copies")).where("n_copies > 1")
-    return grouped.join(of, "group").select("doc_id", "keep_id", "n_copies")
+    return grouped.join(C.materialise(of, "near-copies"), "group").select("doc_id", "keep_id", "n_copies")
 
 
 def drop_near(docs: DataFrame, tau: int = TAU, wide: int = WIDE_TAU) -> DataFrame:
@@ -495,7 +495,7 @@ def drop_near(docs: DataFrame, tau: int = TAU, wide: int = WIDE_TAU) -> DataFram
     grouped = C.materialise(prints.join(components(near_edges(prints, tau, wide)), "node", "left").select("at", "doc_id", F.coalesce("label", "node").alias("group")), "near-groups")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "at"))
     groups = grouped.groupBy("group").agg(first.alias("first"), F.count("*").alias("n")).where("n > 1")
-    return C.without(rows, grouped.join(groups, "group").where("at <> first.at").select("at"), "near-gone")
+    return C.without(rows, grouped.join(C.materialise(groups, "near-copies"), "group").where("at <> first.at").select("at"), "near-gone")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
