@@ -126,15 +126,17 @@ def pieces(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) ->
     text = C.doc_text(docs).where("doc_id is not null and text is not null")
     found = C.materialise(text.mapInArrow(_runs(min_words, anchor), "key long, run long, doc_id long, pos int, n int"), "runs")
     place = F.struct("doc_id", "pos")
-    kinds = found.groupBy("key", "run").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    # tables on both sides of a join, so that a key of any number of runs can be split among tasks
+    kinds = C.materialise(found.groupBy("key", "run").agg(F.min(place).alias("first"), F.max(place).alias("last")), "all-run-kinds")
     alone = F.col("first.doc_id") == F.col("last.doc_id")
     keys = kinds.groupBy("key").agg(F.min("first.doc_id").alias("lo"), F.max("last.doc_id").alias("hi"), F.max(alone).alias("open")).where("lo < hi").select("key", "open")
-    kinds = C.materialise(kinds.join(keys, "key").withColumn("alone", alone), "run-kinds")
+    kinds = C.materialise(kinds.join(C.materialise(keys, "run-keys"), "key").withColumn("alone", alone), "run-kinds")
     settled = _sourced(found, kinds.where("not alone"), ["key", "run"], F.col("n"), min_words)
     compared = found.join(kinds.where("open"), ["key", "run"]).where(F.col("alone") | (place == F.col("first")) | (place == F.col("last")))
     asked = compared.select("doc_id", F.struct("pos", "n").alias("run")).groupBy("doc_id").agg(F.collect_set("run").alias("asked"))
     windows = C.materialise(text.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_hashes(min_words, anchor), "window long, doc_id long, pos int"), "windows")
     twice = windows.groupBy("window").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first.doc_id < last.doc_id")
+    twice = C.materialise(twice, "shared-windows")
     return settled.unionAll(_sourced(windows, twice, ["window"], F.lit(1), min_words))
 
 
