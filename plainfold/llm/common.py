@@ -39,7 +39,10 @@ def work_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Cut lineage: write the table to the shared folder and read it back."""
+    """Cut lineage: write the table to the shared folder and read it back.
+
+    A join of two such tables has a shuffle right below each side, which is what adaptive execution needs to split a hot
+    key among tasks; it can't where one side is an aggregate of the same key."""
     path = work_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -88,7 +91,7 @@ def placed(docs: DataFrame, name: str) -> DataFrame:
 def without(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
     """rows (row, at) but those at ``places`` (at), unpacked. No row moves: the places are written out by file, and each
     task reads those of the files that it has, which are no more than the rows of these."""
-    path = work_path(rows.sparkSession, name)
+    path = _qualified(rows.sparkSession, work_path(rows.sparkSession, name))
     bucket = lambda file: F.pmod(F.xxhash64(file), F.lit(BUCKETS)).cast("int")
     gone = places.select(bucket(F.col("at.file")).alias("bucket"), F.col("at.file").alias("file"), F.col("at.n").alias("n"))
     gone.repartition("bucket").sortWithinPartitions("bucket", "file", "n").write.partitionBy("bucket").parquet(path)
@@ -109,9 +112,19 @@ def without(rows: DataFrame, places: DataFrame, name: str) -> DataFrame:
     return unpacked(rows.where(kept(F.col("at.file"), F.col("at.n"), bucket(F.col("at.file")))))
 
 
+def _qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark takes it to have."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    scheme, rest = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString().split(":", 1)
+    return f"{scheme}://{rest}" if not rest.startswith("//") else f"{scheme}:{rest}"
+
+
 @lru_cache(maxsize=4)
 def _places(path: str, file: str, bucket: int) -> np.ndarray:
-    fs, base = pafs.FileSystem.from_uri(path if "://" in path or not path.startswith("/") else "file://" + path)
+    scheme, rest = path.split("://", 1)
+    fs, base = pafs.FileSystem.from_uri(f"{'s3' if scheme in ('s3a', 's3n') else scheme}://{rest}")
+    if fs.get_file_info(f"{base}/_SUCCESS").type != pafs.FileType.File:  # else a folder out of reach would read as no places
+        raise FileNotFoundError(f"{path} is not what Spark has written")
     found = fs.get_file_info(pafs.FileSelector(f"{base}/bucket={bucket}", allow_not_found=True))
     parts = [pq.read_table(f.path, filesystem=fs, columns=["n"], filters=[("file", "=", file)], partitioning=None).column(0).to_numpy() for f in found if f.path.endswith(".parquet")]
     return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
