@@ -43,20 +43,38 @@ class Normaliser:
     def __init__(self, rules: dict[str, str], prefix: bool, squeeze: bool, kept: list[str] = ()):
         self.rules, self.prefix, self.squeeze = rules, prefix, squeeze
         symbols = "|".join(map(re.escape, sorted(kept, key=len, reverse=True)))
-        heads: dict[str, list[str]] = {}
-        for key in rules:
-            heads.setdefault(key[0], []).append(key)
-        single = "".join(re.escape(c) for c, keys in heads.items() if keys == [c])
-        several = "|".join(re.escape(k) for keys in heads.values() if len(keys) > 1 or len(keys[0]) > 1 for k in sorted(keys, key=len, reverse=True))
-        parts = [x for x in (several, f"[{single}]" if single else "") if x]
         self.symbols = re.compile(f"({symbols})") if symbols else None
-        self.mapped = re.compile("|".join(parts)) if parts else None
+        self.lengths: dict[str, list[int]] = {}
+        for n in sorted({len(key) for key in rules}, reverse=True):
+            for head in {key[0] for key in rules if len(key) == n}:
+                self.lengths.setdefault(head, []).append(n)
+        # where a rule may begin: at a character that has one, or at the first two characters of a longer one
+        some = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]"
+        single, longer = {key for key in rules if len(key) == 1}, [key for key in rules if len(key) > 1]
+        parts = [some({k[0] for k in longer}) + some({k[1] for k in longer})] if longer else []
+        parts += [some(single)] if single else []
+        self.begins = re.compile("|".join(parts)) if parts else None
 
     def _map(self, text: str) -> str:
-        if self.mapped is None:
+        if self.begins is None:
             return text
         pieces = self.symbols.split(text) if self.symbols else [text]
-        return "".join(p if k % 2 else self.mapped.sub(lambda m: self.rules[m.group()], p) for k, p in enumerate(pieces))
+        return "".join(p if k % 2 else self._mapped(p) for k, p in enumerate(pieces))
+
+    def _mapped(self, text: str) -> str:
+        """At each place the longest rule, from the left on."""
+        out, done, at = [], 0, 0
+        while m := self.begins.search(text, at):
+            at = m.start()
+            for n in self.lengths[text[at]]:
+                new = self.rules.get(text[at : at + n])
+                if new is not None:
+                    out += [text[done:at], new]
+                    done = at = at + n
+                    break
+            else:
+                at += 1
+        return "".join([*out, text[done:]])
 
     def __call__(self, text: str) -> str:
         out = self._map(text)

@@ -41,6 +41,7 @@ def normalising_model(rule, unigram, own=()):
     for p in m.pieces:
         if p.piece in own:
             p.type = 4
+        p.score = max(p.score, -1e5)  # the library adds in float32, where 1e9 hides differences of 10
     return m
 
 
