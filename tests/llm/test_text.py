@@ -254,6 +254,53 @@ def test_toxicity_matches_a_plain_model(spark, labelled, tmp_path):
     assert 2000 in {r.doc_id for r in d.toxic(docs.unionAll(spark.createDataFrame([rows[300]], docs.schema))).collect()}
 
 
+def test_toxicity_counts_take_little_room(spark, labelled):
+    """What training writes, shuffled and in tables, against the words it counts: each is sent once, not for each kind of count."""
+    from pathlib import Path
+
+    docs, labels = labelled
+
+    def written():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty(30_000)
+        files = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*.parquet")
+        return sc.statusStore().executorList(True).apply(0).totalShuffleWrite() + sum(p.stat().st_size for p in files if p.is_file())
+
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    words = sum(len(r.text.split()) for r in docs.collect())
+    before = written()
+    assert T.Detector(docs, known).shipped is not None
+    assert written() - before < 40 * words
+
+
+def test_toxicity_counts_across_batches(monkeypatch):
+    """Counts of bigrams against dictionaries, where keys go on from batch to batch and copies from one set to the next."""
+    import random
+
+    import pyarrow as pa
+
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("abcd") if i % 4 else "a" for _ in range(r.randint(0, 40))), r.choice(["en", "fr", "de", None]) if i % 3 else "en", r.random() < 0.4) for i in range(60)]
+    table = pa.table({k: pa.array(c, t) for (k, t), c in zip([("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("toxic", pa.bool_())], zip(*docs))})
+    monkeypatch.setattr(T, "SENT", 7)
+    monkeypatch.setattr(T, "GATHERED", 50)
+    grams = pa.Table.from_batches(T._grams(iter(table.to_batches(9)))).select(["key", "lang", "toxic", "third"])
+    rows = grams.to_pylist()
+    assert len(rows) < sum(len(t.split()) for _, t, _, _ in docs)
+    want = collections.defaultdict(lambda: (set(), set()))
+    for x in rows:
+        for lang in (x["lang"], int(T.POOLED)):
+            want[x["key"], lang][x["toxic"]].add(x["third"])
+    for size in (1, 3, 1000):
+        got = {}
+        for b in T._counts(iter(grams.sort_by("key").to_batches(size))):
+            for x in b.to_pylist():
+                for lang in (x["lang"], int(T.POOLED))[: 1 + x["alone"]]:
+                    assert (x["key"], lang) not in got
+                    got[x["key"], lang] = x["t"], x["o"]
+        assert got == {k: (len(t), len(o)) for k, (o, t) in want.items()}
+
+
 def test_labels_are_used_up_to_the_bound(spark):
     labels = spark.createDataFrame([(i, int(i % 9 == 0)) for i in range(9000)], "doc_id long, toxic int")
     n = lambda most: collections.Counter(r.toxic for r in T.labelled(labels, most)[0].collect())
