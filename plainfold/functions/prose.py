@@ -7,6 +7,7 @@ punctuation decide. Everything here is a function of one row, hence needs no shu
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,23 +24,38 @@ MARKER_TOKEN = r"(^|[ \n])([-:]*-[-:]*|[0-9]{1,9}[.)])([ \n]|$)"
 IMPORT_LINE = r"(^|\n)(import|export)([^0-9A-Za-z_]|$)"
 ADMONITION_LINE = r"(^|\n)(!!!|\?\?\?)"
 
+#: For speed: MARKED without its literals, WIDE_SPACE with a look at the range first, and how a MARKER_TOKEN ends.
+_MARKED_CHAR = MARKED.partition("|://")[0]
+_WIDE_CHAR = rf"[\x{{80}}-\x{{ffff}}&&{WIDE_SPACE}]"
+_MARKER_END = r"[-0-9](?:(?<=-)[-:]*|(?<=[0-9])[.)])(?:[ \n]|$)"
+
 STARTER = r"[\"'“‘(\[\p{Lu}\p{Nd}]"
 
 
+def _any(found) -> Column:
+    return reduce(Column.__or__, found)
+
+
 def is_plain(text: Column, dialect: str = "gfm") -> Column:
-    """Whether a text needs no Markdown kernel. Null is not plain; nor are double spaces, which would have to be kept."""
-    bad = [MARKED, WIDE_SPACE, SPACED_LINE, MARKER_TOKEN, IMPORT_LINE] + ([ADMONITION_LINE] if dialect == "mkdocs" else [])
-    out = F.lit(True)
-    for p in bad:
-        out = out & ~text.rlike(p)
-    return F.coalesce(out, F.lit(False))
+    """Whether a text needs no Markdown kernel. Null is not plain; nor are double spaces, which would have to be kept.
+
+    The same as none of the patterns above being found. Literals are looked for as bytes, and what takes long only where
+    something short that it needs is found."""
+    line = lambda *words: _any(x for w in words for x in (text.startswith(w), text.contains("\n" + w)))
+    bad = _any([
+        line(" "), *map(text.contains, ("  ", "://", "www.", ":::")), text.rlike(_MARKED_CHAR), text.rlike(_WIDE_CHAR),
+        text.rlike(_MARKER_END) & text.rlike(MARKER_TOKEN), line("import", "export") & text.rlike(IMPORT_LINE),
+    ])
+    if dialect == "mkdocs":
+        bad = bad | line("!!!", "???")
+    return F.coalesce(~bad, F.lit(False))
 
 
 def joined(text: Column) -> Column:
-    """Each paragraph on one line; newlines that stay are KEPT."""
-    marked = F.regexp_replace(F.replace(text, F.lit("\n\n"), F.lit(KEPT * 2)), f"{KEPT}\n", KEPT * 2)
-    marked = F.regexp_replace(F.regexp_replace(marked, r"^\n", KEPT), r"\n\z", KEPT)
-    return F.regexp_replace(marked, r" *\n", " ")
+    """Each paragraph of a plain text on one line; newlines that stay are KEPT. No blank stands beside another one in it."""
+    marked = F.replace(F.replace(text, F.lit("\n\n"), F.lit(KEPT * 2)), F.lit(f"{KEPT}\n"), F.lit(KEPT * 2))
+    marked = F.regexp_replace(marked, r"\A\n|\n\z", KEPT)
+    return F.replace(F.replace(marked, F.lit(" \n"), F.lit(" ")), F.lit("\n"), F.lit(" "))
 
 
 def restored(text: Column) -> Column:
@@ -47,10 +63,11 @@ def restored(text: Column) -> Column:
 
 
 def split_sentences(line: Column, abbreviations=None) -> Column:
-    """A newline for the white space between sentences. A sentence doesn't end in an abbreviation or a lone initial."""
+    """A newline for the blank between sentences of a joined line. A sentence doesn't end in an abbreviation or a lone initial."""
     words = "|".join(re.escape(a.lower()) for a in sorted(Options().abbreviations if abbreviations is None else abbreviations))
     held = rf"(?<!(?:^|[ \n{KEPT}])(?:(?i:{words})|\p{{Lu}}\.))" if words else rf"(?<!(?:^|[ \n{KEPT}])\p{{Lu}}\.)"
-    return F.regexp_replace(line, rf"([!.?…][\"')’”\]]*){held} +(?={STARTER})", "$1\n")
+    ended = F.regexp_replace(line, rf"[!.?…][\"')’”\]]*{held}(?= {STARTER})", "$0\n")  # no group: most places are passed over
+    return F.replace(ended, F.lit("\n "), F.lit("\n"))
 
 
 def _tidied(line: Column) -> Column:

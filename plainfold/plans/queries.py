@@ -100,10 +100,8 @@ def _by_columns(options: Options):
 
 def sentence_rows(spark, sf_dir):
     """Sentences of plain documents; of the others the lines of the result, which for Markdown is what stands on a line."""
-    plain = F.split(P.split_sentences(P.joined(F.col("text"))), f"[\n{P.KEPT}]", -1)
     d = api.reflow(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    lines = F.when(P.is_plain(F.col("text")), plain).otherwise(F.split("formatted", "\r?\n", -1))
-    return d.select("doc_id", F.explode(lines).alias("sentence")).where("sentence <> ''")
+    return d.select("doc_id", F.explode(F.split("formatted", "\r?\n", -1)).alias("sentence")).where("sentence <> ''")
 
 
 def prose_sentence_rows(spark, sf_dir):

@@ -1,10 +1,13 @@
 """Queries over every document, against the kernel row by row."""
 
 import collections
+import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as driver
+from plainfold.functions import prose
 from plainfold.markdown import kernel
 from plainfold.options import Options
 from plainfold.plans import api, queries
@@ -60,3 +63,22 @@ def test_paragraph_runs_of_documents(spark, tmp_path):
     spark.createDataFrame([(1, "<p>x</p>\n<b>y")], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = sorted(map(tuple, queries.paragraph_runs(spark, str(tmp_path)).collect()))
     assert got == [("documents", 1, 1, 2), ("documents", 1, 5, 5), ("documents", 4, 3, 3), ("pages", 1, 1, 1), ("pages", 1, 3, 3)]
+
+
+def test_sentences_are_split_once(spark, small):
+    """The costly expressions of plain texts stand once in the plan."""
+    plan = queries.sentence_rows(spark, small[1])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?i:") == 1 and plan.count("[-0-9]") == 1 and plan.count(prose._MARKED_CHAR) == 1
+
+
+def test_plain_is_what_no_pattern_finds(spark):
+    rng = random.Random(3)
+    pieces = [" ", "\n", "\n\n", "a", "B.", "1.", "12)", "-", ":-", ":", "import", "exports", "www.", "://", "::", "!!!", "???", "!", "é", "\x85", " ", "　", "😀", "\r", "#", "", None]
+    df = spark.createDataFrame([("".join(p or "" for p in rng.choices(pieces, k=rng.randint(0, 6))),) for _ in range(4000)] + [(None,)], "text string")
+    text = F.col("text")
+    for dialect, more in (("gfm", []), ("mkdocs", [prose.ADMONITION_LINE])):
+        bad = F.lit(False)
+        for p in [prose.MARKED, prose.WIDE_SPACE, prose.SPACED_LINE, prose.MARKER_TOKEN, prose.IMPORT_LINE, *more]:
+            bad = bad | text.rlike(p)
+        rows = df.select(prose.is_plain(text, dialect).alias("got"), F.coalesce(~bad, F.lit(False)).alias("want")).collect()
+        assert all(r.got == r.want for r in rows) and {r.got for r in rows} == {True, False}
