@@ -1,4 +1,5 @@
 import collections
+import random
 
 import duckdb
 import numpy as np
@@ -417,3 +418,16 @@ def test_stored_weights_are_those_of_training(tmp_path):
     text, start, end, _ = map(list, zip(*few[:50]))
     assert (net.raw(text, start, end) == again.raw(text, start, end)).all() and again.threshold == net.threshold
     assert X.WEIGHTS.stat().st_size < 200_000
+
+
+def test_what_a_codec_keeps_is_bounded(monkeypatch):
+    """Words, moves and answers on pairs of pieces are forgotten at a bound, and identifiers stay the library's."""
+    monkeypatch.setattr(P, "CACHED_WORDS", 40)
+    monkeypatch.setattr(P, "CACHED_ANSWERS", 60, raising=False)
+    codec, rng = P.Codec(P.load(P.MODEL)), random.Random(7)
+    library = sentencepiece.SentencePieceProcessor(model_file=P.MODEL)
+    for k in range(60):
+        text = " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=rng.choice((3, 7, 12, 200)))) for _ in range(20))
+        assert codec.encode(text) == library.encode(text), k
+        assert len(codec.fits) <= 60 and len(codec.automaton.known) <= 60 and len(codec.young) <= 40 and len(codec.old) <= 40
+    assert max(map(len, [*codec.young, *codec.old])) <= 64
